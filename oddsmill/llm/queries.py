@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, near_dedup, quality_rules, suffix_dedup
+from . import bpe, chat_format, decontaminate, kneser_ney, language_id, near_dedup, quality_net, quality_rules, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,11 +24,25 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame(chat_format.PROBE, "conv_id long, turn long, role string, text string")
+    return chat_format.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe))
+
+
+ORACLES["op2_chat_format"] = chat_format.SQL
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -44,7 +58,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its class."""
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents")).drop("digest")
+
+
+@query
+def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
