@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, kneser_ney, language_id, near_dedup, quality_net, quality_rules, suffix_dedup
+from . import bpe, chat_format, decontaminate, html_extract, kneser_ney, language_id, near_dedup, quality_net, quality_rules, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,6 +43,11 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
