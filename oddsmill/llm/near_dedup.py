@@ -7,10 +7,10 @@
    whose shingles with a second text weigh less than t of it has no partner; this drops most texts and loses
    nothing. Of the others, improved consistent weighted sampling (Ioffe 2010) draws bands x rows samples from the
    shared shingles. (Shingles no other text has cannot match; leaving them out of the draw only raises the chance to meet.)
-3. Texts that agree on a band are candidates. Per band, leaders are compared with every member of another
-   class, never all pairs at once: first the smallest key, then, in bands that still hold several
-   classes, up to LEADERS texts outside the largest class per round, until every text outside the largest
-   class was a leader. So every candidate pair is either compared or already in one class.
+3. Texts that agree on a band are candidates. First each is compared with the smallest key of its bands, which settles
+   most. In bands that then still hold several classes, the texts outside the largest class are a query set that
+   is compared in blocks with all texts of those bands; only links leave a task. So every candidate pair is either compared or
+   in one class already.
 4. A compared pair counts if its exact weighted Jaccard similarity is at least t; classes are connected components of these
    pairs and of equal texts. All joins are on text keys or bands with small rows; hot keys are left to the skew join.
 """
@@ -27,8 +27,8 @@ from . import _exchange as X, _text as T
 from ._store import written
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
-#: Texts per band and round that are compared with the members of other classes.
-LEADERS = 64
+#: Texts in a block of a query set, and of the texts it is compared with.
+BLOCK = 128
 #: Bytes of text hashed at a time.
 PORTION = 1 << 20
 
@@ -191,7 +191,6 @@ def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def text_classes(texts: DataFrame, threshold: float) -> DataFrame | None:
     """(key, label) of the texts that are linked to another text; None if there are no candidates."""
-    spark = texts.sparkSession
     every = texts.where("size(bands) > 0").select("key", F.explode("bands").alias("band"))
     heads = every.groupBy("band").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
     members = written(every.join(heads, "band").select("band", "key", "head"), "near-members")
@@ -199,22 +198,64 @@ def text_classes(texts: DataFrame, threshold: float) -> DataFrame | None:
         return None
     pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     labels = components(compared(pairs, texts, threshold))
-    done = members.where("key = head").select("band", "key")
-    members = members.select("band", "key")
-    while True:
-        classed = members.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-        sizes = classed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("band", F.col("top.label").alias("top"))
-        mixed = written(classed.join(largest, "band"), "near-mixed")
-        left = mixed.where("label <> top").join(done, ["band", "key"], "left_anti")
-        order = Window.partitionBy("band").orderBy("key")
-        leaders = written(left.withColumn("at", F.row_number().over(order)).where(F.col("at") <= LEADERS).select("band", F.col("key").alias("leader"), F.col("label").alias("own")), "near-leaders")
-        if leaders.isEmpty():
-            return labels
-        pairs = mixed.join(leaders, "band").where("label <> own").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
-        labels = components(compared(pairs, texts, threshold), labels)
-        done = written(done.union(leaders.select("band", F.col("leader").alias("key"))), "near-done")
-        members = mixed.select("band", "key")
+    classed = members.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    sizes = classed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("band", F.col("top.label").alias("top"))
+    mixed = written(classed.join(largest, "band").select("top", "key", "label").distinct(), "near-mixed")
+    if mixed.isEmpty():
+        return labels
+    return components(block_links(mixed, texts, threshold), labels)
+
+
+def block_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of different classes in mixed(top, key, label), where one is outside the class ``top``.
+
+    Per top, the texts outside it are a query set against all its texts: both are packed into blocks of about BLOCK vectors, each pair of
+    blocks is one row, and its task compares all their texts through shared shingles and returns the links alone.
+    """
+    vectors = texts.where("vector is not null").select("key", "vector", "weight")
+    rows = mixed.join(vectors, "key")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        count = side.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+        dealt = side.join(count, "top").withColumn(name, F.pmod(F.xxhash64("key"), "_n"))
+        return dealt.groupBy("top", name).agg(F.collect_list(F.struct("key", "label", "weight", "vector")).alias(f"{name}s"))
+
+    joined = blocks(rows, "member").join(blocks(rows.where("label <> top"), "query"), "top")
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        for members, queries in zip(table.column("members").to_pylist(), table.column("querys").to_pylist()):
+            for x, y in compared_blocks(members, queries, threshold):
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return joined.groupBy("top", "member", "query").applyInArrow(compare, "a long, b long").distinct()
+
+
+def compared_blocks(members: list[dict], queries: list[dict], threshold: float):
+    """The pairs of texts of different classes whose similarity reaches the threshold; weights are added up over the queries' shingles."""
+    hashes, weights, who = [], [], []
+    for i, q in enumerate(queries):
+        h, w = X.unframe(q["vector"])
+        hashes.append(X.unpack_sorted(h))
+        weights.append(X.unpack_array(w, np.float32))
+        who.append(np.full(len(hashes[-1]), i))
+    hashes, weights, who = map(np.concatenate, (hashes, weights, who))
+    order = np.argsort(hashes, kind="stable")
+    hashes, weights, who = hashes[order], weights[order], who[order]
+    total = np.array([q["weight"] for q in queries])
+    labels = np.array([q["label"] for q in queries])
+    for m in members:
+        h, w = X.unframe(m["vector"])
+        h, w = X.unpack_sorted(h), X.unpack_array(w, np.float32)
+        low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        least = np.bincount(who[at], np.minimum(np.repeat(w, n), weights[at]), minlength=len(queries))
+        for i in np.flatnonzero((least / (total + m["weight"] - least) >= threshold - 1e-6) & (labels != m["label"])):
+            yield min(m["key"], queries[i]["key"]), max(m["key"], queries[i]["key"])
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
