@@ -99,7 +99,9 @@ def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """The rows of docs that are kept, with their columns."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    return judged(plain, rules).where("kept").select(*names).toDF(*docs.columns)
+    # the row number keeps the filter above the measures; pushed below, it would repeat them inside each other
+    out = judged(plain, rules).withColumn("_row", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_row") >= 0)).select(*names).toDF(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
