@@ -47,11 +47,8 @@ def struct_book(payload: Column) -> tuple[Column, Column]:
     return best_first(read(raw["bids"]), True), best_first(read(raw["asks"]), False)
 
 
-def walk(levels: Column, notional: Column | float) -> Column:
-    """[B8] struct(filled, contracts, vwap, levels, complete) of spending notional dollars down the levels.
-
-    A level without a positive price is skipped; exactly enough depth is complete; nothing to spend is complete without a price.
-    """
+def spent(levels: Column, notional: Column | float) -> Column:
+    """struct(filled, contracts, levels) after spending up to notional dollars down the levels; a level without a positive price is skipped."""
     notional = notional if isinstance(notional, Column) else F.lit(float(notional))
     state = F.struct(F.lit(0.0).alias("filled"), F.lit(0.0).alias("contracts"), F.lit(0).alias("levels"))
 
@@ -64,20 +61,28 @@ def walk(levels: Column, notional: Column | float) -> Column:
             F.when(used, s["levels"] + 1).otherwise(s["levels"]).alias("levels"),
         )
 
-    done = F.aggregate(levels, state, step)
-    return F.struct(
-        done["filled"].alias("filled"),
-        done["contracts"].alias("contracts"),
-        F.try_divide(done["filled"], F.nullif(done["contracts"], F.lit(0.0))).alias("vwap"),
-        done["levels"].alias("levels"),
-        (done["filled"] >= notional - 1e-9).alias("complete"),
-    )
+    return F.aggregate(levels, state, step)
+
+
+def average_price(done: Column) -> Column:
+    return F.try_divide(done["filled"], F.nullif(done["contracts"], F.lit(0.0)))
+
+
+def complete(done: Column, notional: Column | float) -> Column:
+    """Exactly enough depth is enough."""
+    return done["filled"] >= notional - 1e-9
+
+
+def walk(levels: Column, notional: Column | float) -> Column:
+    """[B8] struct(filled, contracts, vwap, levels, complete); nothing to spend is complete without a price."""
+    done = spent(levels, notional)
+    return F.struct(done["filled"].alias("filled"), done["contracts"].alias("contracts"), average_price(done).alias("vwap"), done["levels"].alias("levels"), complete(done, notional).alias("complete"))
 
 
 def executable_cost(levels: Column, notional: Column | float) -> Column:
     """[B9] Average price for notional dollars; null if the book can't fill them."""
-    fill = walk(levels, notional)
-    return F.when(fill["complete"], fill["vwap"])
+    done = spent(levels, notional)
+    return F.when(complete(done, notional), average_price(done))
 
 
 def best_price(levels: Column) -> Column:
@@ -113,26 +118,33 @@ def _all_in(yes: Column, no: Column, yes_fee: Column, no_fee: Column) -> Column:
     return yes + taker_fee(yes_fee, yes) + no + taker_fee(no_fee, no)
 
 
-def price_pair(fee: Column, notional: float | None, k_fee: float = K_FEE) -> Column:
-    """[B12] struct(direction, cost, edge) of the cheaper way over the columns pm_bids, pm_asks, k_bids, k_asks: at the touch, or for so many dollars a leg."""
-    quote = best_price if notional is None else lambda levels: executable_cost(levels, notional)
-    pm_yes, k_yes = quote(F.col("pm_asks")), quote(F.col("k_asks"))
-    pm_no, k_no = quote(mirrored(F.col("pm_bids"))), quote(mirrored(F.col("k_bids")))
+def cheaper_way(pm_yes: Column, k_no: Column, k_yes: Column, pm_no: Column, fee: Column, k_fee: float = K_FEE) -> Column:
+    """[B12] struct(direction, cost, edge) of the cheaper of the two ways; a way with a side that can't be had is skipped."""
     one, two = _all_in(pm_yes, k_no, fee, F.lit(k_fee)), _all_in(k_yes, pm_no, F.lit(k_fee), fee)
-    cost = F.least(one, two)  # a null side is skipped
+    cost = F.least(one, two)
     second = two.isNotNull() & (one.isNull() | (two < one))
     return F.struct(F.when(second, "k_yes").otherwise("pm_yes").alias("direction"), cost.alias("cost"), (1 - cost).alias("edge"))
 
 
+def price_pair(fee: Column, notional: float | None, k_fee: float = K_FEE) -> Column:
+    """[B12] The cheaper way over the columns pm_bids, pm_asks, k_bids, k_asks: at the touch, or for so many dollars a leg."""
+    quote = best_price if notional is None else lambda levels: executable_cost(levels, notional)
+    return cheaper_way(quote(F.col("pm_asks")), quote(mirrored(F.col("k_bids"))), quote(F.col("k_asks")), quote(mirrored(F.col("pm_bids"))), fee, k_fee)
+
+
 def evaluate(pairs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """[B13] pairs(pm_id, k_id, ts, category, pm_bids, pm_asks, k_bids, k_asks) to signals: the touch, and each size."""
-    fee = pm_fee(F.col("category"))
-    out = pairs.withColumn("touch", price_pair(fee, None))
-    for n in sizes:
-        out = out.withColumn(f"at_{n}", price_pair(fee, n))
-    costs = [c for n in sizes for c in (F.col(f"at_{n}.cost").alias(f"exec_cost_{n}"), F.col(f"at_{n}.edge").alias(f"exec_edge_{n}"))]
+    """[B13] pairs(pm_id, k_id, ts, category, pm_bids, pm_asks, k_bids, k_asks) to signals: the touch, and each size.
+
+    Ladders are walked once each, in a projection of their own; later projections only read the result.
+    """
+    ladders = {"pm_yes": F.col("pm_asks"), "k_no": mirrored(F.col("k_bids")), "k_yes": F.col("k_asks"), "pm_no": mirrored(F.col("pm_bids"))}
+    out = pairs.withColumns({f"_{k}": v for k, v in ladders.items()} | {"_fee": pm_fee(F.col("category"))})
+    out = out.withColumns({f"_{k}_{n}": spent(F.col(f"_{k}"), n) for k in ladders for n in sizes} | {f"_{k}_0": best_price(F.col(f"_{k}")) for k in ladders})
+    out = out.withColumns({f"_{k}_{n}": F.when(complete(F.col(f"_{k}_{n}"), n), average_price(F.col(f"_{k}_{n}"))) for k in ladders for n in sizes})
+    out = out.withColumns({f"_at_{n}": cheaper_way(*(F.col(f"_{k}_{n}") for k in ladders), F.col("_fee")) for n in (0, *sizes)})
+    costs = [c for n in sizes for c in (F.col(f"_at_{n}.cost").alias(f"exec_cost_{n}"), F.col(f"_at_{n}.edge").alias(f"exec_edge_{n}"))]
     best = [best_price(F.col(f"{v}_{s}s")).alias(f"{v}_best_{s}") for v in ("pm", "k") for s in ("ask", "bid")]
-    return out.select("pm_id", "k_id", "ts", F.col("touch.direction").alias("direction"), F.col("touch.cost").alias("touch_cost"), F.col("touch.edge").alias("touch_edge"), *costs, *best)
+    return out.select("pm_id", "k_id", "ts", F.col("_at_0.direction").alias("direction"), F.col("_at_0.cost").alias("touch_cost"), F.col("_at_0.edge").alias("touch_edge"), *costs, *best)
 
 
 def depth_cost(shots: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:

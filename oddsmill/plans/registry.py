@@ -1,6 +1,6 @@
 """Every query of the engine by name, and its DuckDB twin.
 
-Doubles are rounded to six places on both sides, as sums of doubles depend on their order.
+Doubles are rounded to nine places on both sides, as sums of doubles depend on their order.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ _QUERIES: dict = {}
 _ORACLES: dict = {}
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, places: int = 9) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
@@ -49,7 +49,7 @@ def r(*columns: str) -> str:
     out = []
     for c in columns:
         expression, _, name = c.rpartition(" AS ")
-        out.append(f"round({expression or name}, 6) + 0.0 AS {name}")
+        out.append(f"round({expression or name}, 9) + 0.0 AS {name}")
     return ", ".join(out)
 
 
@@ -57,7 +57,7 @@ def r(*columns: str) -> str:
 
 WILSON = """CASE WHEN n = 0 THEN 0.0 ELSE greatest(0.0, (hits / n + 3.8416 / n / 2 - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / n / (4 * n))) / (1 + 3.8416 / n)) END AS ci_low,
     CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, (hits / n + 3.8416 / n / 2 + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / n / (4 * n))) / (1 + 3.8416 / n)) END AS ci_high"""
-WILSON = ", ".join(f"round({x.rpartition(' AS ')[0]}, 6) + 0.0 AS {x.rpartition(' AS ')[2]}" for x in WILSON.split(",\n    "))
+WILSON = ", ".join(f"round({x.rpartition(' AS ')[0]}, 9) + 0.0 AS {x.rpartition(' AS ')[2]}" for x in WILSON.split(",\n    "))
 BIN = "greatest(0, least(9, floor(p * 10)))::INT"
 
 
@@ -173,14 +173,14 @@ def spread_statistics(spark, d):
 
 # one row of state per day: (open, peak, its place, the gap before, ended event or null)
 HALVES = W.with_views("al", """, g AS (SELECT pm_id, k_id, abs(spread) AS gap, row_number() OVER (PARTITION BY pm_id, k_id ORDER BY day) AS i FROM sp)""").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
-walk(pm_id, k_id, i, is_open, peak, at, gap, ended) AS (
+walk(pm_id, k_id, i, is_open, peak, since, gap, ended) AS (
   SELECT pm_id, k_id, i, gap >= 5, CASE WHEN gap >= 5 THEN gap ELSE 0 END, i, gap, NULL::DOUBLE FROM g WHERE i = 1
   UNION ALL
   SELECT g.pm_id, g.k_id, g.i,
     CASE WHEN w.is_open THEN g.gap > w.peak / 2 ELSE g.gap >= 5 AND w.gap < 5 END,
     CASE WHEN (NOT w.is_open AND g.gap >= 5 AND w.gap < 5) OR (w.is_open AND g.gap > w.peak / 2 AND g.gap >= 5 AND g.gap > w.peak) THEN g.gap ELSE w.peak END,
-    CASE WHEN (NOT w.is_open AND g.gap >= 5 AND w.gap < 5) OR (w.is_open AND g.gap > w.peak / 2 AND g.gap >= 5 AND g.gap > w.peak) THEN g.i ELSE w.at END,
-    g.gap, CASE WHEN w.is_open AND g.gap <= w.peak / 2 THEN (g.i - w.at)::DOUBLE END
+    CASE WHEN (NOT w.is_open AND g.gap >= 5 AND w.gap < 5) OR (w.is_open AND g.gap > w.peak / 2 AND g.gap >= 5 AND g.gap > w.peak) THEN g.i ELSE w.since END,
+    g.gap, CASE WHEN w.is_open AND g.gap <= w.peak / 2 THEN (g.i - w.since)::DOUBLE END
   FROM walk w JOIN g ON g.pm_id = w.pm_id AND g.k_id = w.k_id AND g.i = w.i + 1)
 """
 
@@ -324,14 +324,14 @@ def paper_signals(spark, d):
     return signals(spark, d)
 
 
-@query(W.with_views("bk", SIGNALS) + f""" SELECT view, count(*) AS signals, count_if(edge > 0)::BIGINT AS positive, {r('median(edge) AS median_edge')}, count_if(edge IS NULL)::BIGINT AS unfillable
+@query(W.with_views("bk", SIGNALS) + f""" SELECT view, count(*) AS signals, coalesce(count_if(edge > 0), 0)::BIGINT AS positive, {r('median(edge) AS median_edge')}, coalesce(count_if(edge IS NULL), 0)::BIGINT AS unfillable
   FROM (SELECT 'touch' AS view, touch_edge AS edge FROM sg {' '.join(f"UNION ALL SELECT '{n}', exec_edge_{n} FROM sg" for n in B.SIZES)}) GROUP BY 1""")
 def signal_summary(spark, d):
     """A24."""
     return B.signal_summary(signals(spark, d))
 
 
-@query(W.with_views("bk", SIGNALS) + f""" SELECT count(*) AS signals, {r('median(touch_edge - exec_edge_200) AS median_loss', 'avg(touch_edge - exec_edge_200) AS mean_loss')}, count_if(touch_edge > 0 AND exec_edge_200 <= 0)::BIGINT AS turned
+@query(W.with_views("bk", SIGNALS) + f""" SELECT count(*) AS signals, {r('median(touch_edge - exec_edge_200) AS median_loss', 'avg(touch_edge - exec_edge_200) AS mean_loss')}, coalesce(count_if(touch_edge > 0 AND exec_edge_200 <= 0), 0)::BIGINT AS turned
   FROM sg WHERE touch_edge IS NOT NULL AND exec_edge_200 IS NOT NULL""")
 def edge_decay(spark, d):
     """A25."""
@@ -496,9 +496,9 @@ def blocked_pairs(spark, d):
     return M.blocked_pairs(*sides(spark, d)).select("pm_id", "k_id")
 
 
-@query(f"""WITH {TITLES}, nm AS (SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), lambda x: x NOT IN ('2024')))) AS nums, text LIKE '%highest%' AS hi, text LIKE '%1st half%' AS hf FROM tm)
+@query(f"""WITH {TITLES}, nm AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE), lambda x: x <> 2024))) AS nums, text LIKE '%highest%' AS hi, text LIKE '%1st half%' AS hf FROM tm)
   SELECT p.market_id AS pm_id, k.market_id AS k_id FROM nm p JOIN nm k ON p.pm AND NOT k.pm AND p.bucket = k.bucket AND abs(date_diff('day', p.close_date, k.close_date)) <= CASE p.bucket WHEN 'sports' THEN 1 ELSE 3 END
-  WHERE list_transform(p.nums, lambda x: x::DOUBLE) = list_transform(k.nums, lambda x: x::DOUBLE)""")
+  WHERE p.nums = k.nums""")
 def guarded_pairs(spark, d):
     """M6, M7, M10."""
     return M.guarded(M.blocked_pairs(*sides(spark, d))).select("pm_id", "k_id")
@@ -627,9 +627,9 @@ def naive_intervals(spark, d):
     return X.naive_interval(W.snapshots(spark, d).withColumn("e", F.col("y") - F.col("p")), "e", "platform", "horizon")
 
 
-BOOT = """, cs AS (SELECT {keys}, cluster, sum(e) AS s, count(*) AS m, row_number() OVER (PARTITION BY {keys} ORDER BY cluster) - 1 AS at, count(*) OVER (PARTITION BY {keys}) AS nc FROM ({source}) GROUP BY {keys}, cluster),
-  dr AS (SELECT {keys}, rep, ('0x' || substr(md5('42:' || rep || ':' || draw), 1, 8))::UBIGINT % nc AS at FROM (SELECT DISTINCT {keys}, nc FROM cs), range({n}) a(rep), range(1000) b(draw) WHERE draw < nc),
-  mr AS (SELECT {keys}, rep, sum(s) / sum(m) AS mean FROM dr JOIN cs USING ({keys}, at) GROUP BY {keys}, rep),
+BOOT = """, cs AS (SELECT {keys}, cluster, sum(e) AS s, count(*) AS m, row_number() OVER (PARTITION BY {keys} ORDER BY cluster) - 1 AS place, count(*) OVER (PARTITION BY {keys}) AS nc FROM ({source}) GROUP BY {keys}, cluster),
+  dr AS (SELECT {keys}, rep, ('0x' || substr(md5('42:' || rep || ':' || draw), 1, 8))::UBIGINT % nc AS place FROM (SELECT DISTINCT {keys}, nc FROM cs), range({n}) a(rep), range(1000) b(draw) WHERE draw < nc),
+  mr AS (SELECT {keys}, rep, sum(s) / sum(m) AS mean FROM dr JOIN cs USING ({keys}, place) GROUP BY {keys}, rep),
   bd AS (SELECT {keys}, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM mr GROUP BY {keys}),
   tt AS (SELECT {keys}, count(*) AS n_clusters, sum(m)::BIGINT AS n_obs, sum(s) / sum(m) AS mean FROM cs GROUP BY {keys})"""
 _ERRORS = "SELECT platform, cluster, y - p AS e FROM sn WHERE horizon = '24h'"
@@ -677,9 +677,9 @@ def features(spark, d):
 
 
 _LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, {p})) / (1 - greatest(1e-6, least(1 - 1e-6, {p}))))"
-_FEATURES = W.with_views("st em", f""", at AS (SELECT platform, market_id, arg_max(price, (ts, price)) FILTER (ts <= anchor - 86400) AS p_now, arg_max(price, (ts, price)) FILTER (ts <= anchor - 691200) AS p_before, min(ts) AS first_ts, any_value(anchor) AS anchor, any_value(volume) AS volume, any_value(outcome) AS outcome, any_value(category) AS category
+_FEATURES = W.with_views("st em", f""", sn1 AS (SELECT platform, market_id, arg_max(price, (ts, price)) FILTER (ts <= anchor - 86400) AS p_now, arg_max(price, (ts, price)) FILTER (ts <= anchor - 691200) AS p_before, min(ts) AS first_ts, any_value(anchor) AS anchor, any_value(volume) AS volume, any_value(outcome) AS outcome, any_value(category) AS category
    FROM cl JOIN em USING (platform, market_id) WHERE outcome IS NOT NULL GROUP BY 1, 2)
-  SELECT platform, market_id, CASE WHEN lower(category) IN ('sports', 'crypto', 'politics') THEN lower(category) WHEN lower(category) = 'weather' AND platform = 'pm' THEN 'weather' ELSE 'other' END AS bucket, anchor, {r('p_now', _LOGIT.format(p='p_now') + ' AS logit_now', 'CASE WHEN p_before IS NULL THEN 0 ELSE ' + _LOGIT.format(p='p_now') + ' - ' + _LOGIT.format(p='p_before') + ' END AS momentum', '(anchor - first_ts) / 86400.0 AS lifetime_days', 'ln(1 + coalesce(volume, 0)) AS log_volume')}, (outcome = 'YES')::INT::DOUBLE AS y FROM at WHERE p_now IS NOT NULL""")
+  SELECT platform, market_id, CASE WHEN lower(category) IN ('sports', 'crypto', 'politics') THEN lower(category) WHEN lower(category) = 'weather' AND platform = 'pm' THEN 'weather' ELSE 'other' END AS bucket, anchor, {r('p_now', _LOGIT.format(p='p_now') + ' AS logit_now', 'CASE WHEN p_before IS NULL THEN 0 ELSE ' + _LOGIT.format(p='p_now') + ' - ' + _LOGIT.format(p='p_before') + ' END AS momentum', '(anchor - first_ts) / 86400.0 AS lifetime_days', 'ln(1 + coalesce(volume, 0)) AS log_volume')}, (outcome = 'YES')::INT::DOUBLE AS y FROM sn1 WHERE p_now IS NOT NULL""")
 
 
 @query(_FEATURES)

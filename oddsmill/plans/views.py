@@ -125,7 +125,7 @@ def books(spark: SparkSession, d: str) -> DataFrame:
     step = F.round(F.col("disc") * 100).cast("int") * 3 + F.col("l_linenumber")
     bid = F.col("l_linenumber") % 2 == 1
     price = F.when(bid, (48 - step) / 100.0).otherwise((52 + step) / 100.0)
-    side = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct(F.when(bid, -price).otherwise(price).alias("o"), F.col("l_quantity").alias("size")))))
+    side = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct(F.when(bid, -price).otherwise(price).alias("o"), (F.col("l_quantity") * 20).alias("size")))))
     g = li.where("l_orderkey % 40 = 0").groupBy(
         F.when(F.col("l_orderkey") % 80 == 0, "pm").otherwise("k").alias("platform"), F.col("l_suppkey").cast("string").alias("market_id")
     ).agg(side(bid).alias("b"), side(~bid).alias("a"), (F.max("l_orderkey") * 0 + 1_700_000_000).alias("ts"))
@@ -174,7 +174,7 @@ CTE = {
         CASE WHEN orientation = 'inverse' THEN CASE WHEN pm_outcome = 'NO' THEN 'YES' ELSE 'NO' END ELSE pm_outcome END AS pm_outcome, k_outcome
       FROM pa JOIN da a ON a.platform = 'pm' AND a.market_id = pm_id JOIN dq b ON b.market_id = k_id AND b.day = a.day
       WHERE verified AND NOT basis_risk AND pm_outcome IS NOT NULL AND k_outcome IS NOT NULL AND a.day < resolve_day)""",
-    "lv": """lv AS (SELECT CASE WHEN l_orderkey % 80 = 0 THEN 'pm' ELSE 'k' END AS platform, l_suppkey::VARCHAR AS market_id, l_linenumber % 2 = 1 AS bid, l_quantity AS size,
+    "lv": """lv AS (SELECT CASE WHEN l_orderkey % 80 = 0 THEN 'pm' ELSE 'k' END AS platform, l_suppkey::VARCHAR AS market_id, l_linenumber % 2 = 1 AS bid, l_quantity * 20 AS size,
         CASE WHEN l_linenumber % 2 = 1 THEN (48 - (round(abs(l_discount) * 100)::INT * 3 + l_linenumber)) / 100.0::DOUBLE ELSE (52 + (round(abs(l_discount) * 100)::INT * 3 + l_linenumber)) / 100.0::DOUBLE END AS price
       FROM lineitem WHERE l_orderkey % 40 = 0)""",
     "bk": """bs AS (SELECT platform, market_id, 1700000000::BIGINT AS ts, max(price) FILTER (bid) AS best_bid, min(price) FILTER (NOT bid) AS best_ask,
