@@ -22,41 +22,36 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._store import release
 
 #: Bytes of text tokenized at a time, pieces contracted by one recursive query, and pieces remembered per generation.
-PORTION, WORDS, KEPT = 4 << 20, 40_000, 250_000
+PORTION, WORDS, KEPT = 1 << 20, 12_000, 200_000
 #: A piece of more bytes is contracted in a table of its own, as the recursive query would keep every one of its many rounds.
 LONG = 192
 
-_STEP = """
-    SELECT s.wid, s.pos, s.tok,
-           lead(s.tok) OVER w AS next_tok, lead(s.pos) OVER w AS next_pos
-    FROM {state} s WINDOW w AS (PARTITION BY s.wid ORDER BY s.pos)"""
-_BEST = """
-    SELECT p.wid, min(m.merged::BIGINT * 4294967296 + p.pos) AS code
-    FROM pairs p JOIN merges m ON m.lhs = p.tok AND m.rhs = p.next_tok GROUP BY p.wid"""
-_KEEP = """
-    SELECT {extra} p.wid, p.pos,
-           CASE WHEN p.pos = b.code & 4294967295 THEN (b.code >> 32)::INTEGER ELSE p.tok END AS tok
-    FROM (SELECT *, lag(pos) OVER (PARTITION BY wid ORDER BY pos) AS prev_pos FROM pairs) p JOIN best b USING (wid)
-    WHERE p.prev_pos IS NULL OR p.prev_pos <> b.code & 4294967295"""
+# One round over rows (wid, pos, tok, nxt) of ``state``: nxt is the token at pos + 1, -1 at a word's end. The least of
+# (rank, position) is each word's pair to contract; the row after it goes, and later positions move up.
+_ROUND = """
+  WITH best AS (
+    SELECT s.wid, min((m.merged << 32) | s.pos::BIGINT) AS code
+    FROM state s JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + s.nxt GROUP BY s.wid),
+  pick AS (
+    SELECT best.wid, (code >> 32)::INTEGER AS merged, (code & 4294967295)::INTEGER AS place, r.nxt AS beyond
+    FROM best JOIN state r ON r.wid = best.wid AND r.pos = (code & 4294967295)::INTEGER + 1)
+  SELECT {round} s.wid,
+    CASE WHEN s.pos > b.place THEN s.pos - 1 ELSE s.pos END AS pos,
+    CASE WHEN s.pos = b.place THEN b.merged ELSE s.tok END AS tok,
+    CASE WHEN s.pos = b.place THEN b.beyond WHEN s.pos = b.place - 1 THEN b.merged ELSE s.nxt END AS nxt
+  FROM state s JOIN pick b ON b.wid = s.wid WHERE s.pos <> b.place + 1"""
 
 ENCODE = f"""
-WITH RECURSIVE state(round, wid, pos, tok) AS (
-  SELECT 0, wid, pos, tok FROM letters
+WITH RECURSIVE state(round, wid, pos, tok, nxt) AS (
+  SELECT 0, wid, pos, tok, nxt FROM letters
   UNION ALL
-  (WITH pairs AS (
-    SELECT s.round, s.wid, s.pos, s.tok, lead(s.tok) OVER w AS next_tok, lag(s.pos) OVER w AS prev_pos
-    FROM state s WINDOW w AS (PARTITION BY s.wid ORDER BY s.pos)),
-  best AS ({_BEST})
-  SELECT p.round + 1, p.wid, p.pos,
-         CASE WHEN p.pos = b.code & 4294967295 THEN (b.code >> 32)::INTEGER ELSE p.tok END
-  FROM pairs p JOIN best b ON b.wid = p.wid
-  WHERE p.prev_pos IS NULL OR p.prev_pos <> b.code & 4294967295)
+  ({_ROUND.format(round="(s.round + 1)::INTEGER,")})
 ),
 final AS (SELECT wid, max(round) AS round FROM state GROUP BY wid)
-SELECT s.wid, list(s.tok ORDER BY s.pos) AS toks
-FROM state s JOIN final f ON f.wid = s.wid AND f.round = s.round GROUP BY s.wid ORDER BY s.wid
+SELECT s.wid, s.tok FROM state s JOIN final f ON f.wid = s.wid AND f.round = s.round ORDER BY s.wid, s.pos
 """
 
 DECODE = """
@@ -81,47 +76,49 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        merges = pa.table({"lhs": pa.array(left, pa.int32()), "rhs": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        if len(self.ranks) > 65536:
+            raise ValueError("token ids must fit in 16 bits")
+        merges = pa.table({"pair": pa.array(np.array(left, np.int64) * 65536 + np.array(right, np.int64)), "merged": pa.array(merged, pa.int64())})
         vocabulary = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks], pa.string())})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("incoming", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
             self.db.unregister("incoming")
-        self.young: dict[str, tuple[str, bytes, int]] = {}
-        self.old: dict[str, tuple[str, bytes, int]] = {}
+        #: ids joined by commas of the pieces seen lately, and the bytes of those that don't decode to their own
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
 
     def _letters(self, pieces: list[bytes]) -> pa.Table:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         wid = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         pos = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        return pa.table({"wid": wid, "pos": pos, "tok": self.letter[np.frombuffer(b"".join(pieces), np.uint8)]})
+        tok = self.letter[np.frombuffer(b"".join(pieces), np.uint8)]
+        nxt = np.append(tok[1:], -1).astype(np.int32)
+        nxt[np.cumsum(sizes) - 1] = -1
+        return pa.table({"wid": wid, "pos": pos, "tok": tok, "nxt": nxt})
 
     def contract(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of pieces of at least one byte, none of which need be looked up as a whole."""
         self.db.register("letters", self._letters(pieces))
-        found = self.db.execute(ENCODE).fetchnumpy()["toks"]
+        found = self.db.execute(ENCODE).fetchnumpy()
         self.db.unregister("letters")
-        return [[int(x) for x in toks] for toks in found]
+        cuts = np.append(np.flatnonzero(np.diff(found["wid"], prepend=-1)), len(found["wid"]))
+        toks = found["tok"].tolist()
+        return [toks[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def contract_long(self, piece: bytes) -> list[int]:
-        """The same contraction with one state in place of all rounds; time grows with the square of the length, memory doesn't."""
+        """The same rounds with one state in place of all; time grows with the square of the length, memory doesn't."""
         self.db.register("letters", self._letters([piece]))
         self.db.execute("CREATE OR REPLACE TABLE state AS SELECT * FROM letters")
         self.db.unregister("letters")
-        left = len(piece)
         while True:
-            step = f"WITH pairs AS ({_STEP.format(state='state')}), best AS ({_BEST}) {_KEEP.format(extra='')}"
-            self.db.execute(f"CREATE OR REPLACE TABLE upcoming AS {step}")
-            now = self.db.execute("SELECT count(*) FROM upcoming").fetchone()[0]
-            if not now:
-                break
+            self.db.execute(f"CREATE OR REPLACE TABLE upcoming AS {_ROUND.format(round='')}")
+            if not self.db.execute("SELECT count(*) FROM upcoming").fetchone()[0]:
+                return self.db.execute("SELECT tok FROM state ORDER BY pos").fetchnumpy()["tok"].tolist()
             self.db.execute("DROP TABLE state")
             self.db.execute("ALTER TABLE upcoming RENAME TO state")
-            left = now
-        toks = self.db.execute("SELECT tok FROM state ORDER BY pos").fetchnumpy()["tok"]
-        assert len(toks) == left
-        return [int(x) for x in toks]
 
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids; an id outside the vocabulary is an error, an empty list is empty."""
@@ -162,21 +159,25 @@ class Codec:
             for i, d in enumerate(data):
                 if ids[i] is None:
                     ids[i] = self.contract_long(d)
-            for p, own, back in zip(part, ids, self.decode_lists(ids)):
-                self.young[p] = (",".join(map(str, own)), back, len(own))
+            for p, d, own, back in zip(part, data, ids, self.decode_lists(ids)):
+                self.young[p] = ",".join(map(str, own))
+                if back != d:
+                    self.odd[p] = back
 
     def run(self, texts: list[str]):
-        """Ids joined by commas, decoded bytes and number of ids of each text."""
+        """Ids joined by commas, decoded bytes and number of ids of each text.
+
+        The ids of each distinct piece were decoded when it was learnt; pieces that came back as they were (all, for a sound
+        vocabulary) stand for their own bytes here.
+        """
         for part in T.portions([len(t) for t in texts], PORTION):
             pieces = [self.pattern.findall(t) for t in texts[part]]
             self.learn(set().union(*pieces))
             known = self.young
             for own in pieces:
-                if own:
-                    ids, back, n = zip(*map(known.__getitem__, own))
-                    yield ",".join(ids), b"".join(back), sum(n)
-                else:
-                    yield "", b"", 0
+                joined = ",".join(map(known.__getitem__, own))
+                back = b"".join([self.odd.get(p) or p.encode() for p in own]) if self.odd else "".join(own).encode()
+                yield joined, back, joined.count(",") + 1 if own else 0
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -185,6 +186,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 def codec(path: str, pattern: str) -> Codec:
     """The codec of this process; Python workers are used for many tasks."""
     if (path, pattern) not in _codecs:
+        release()
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
 
