@@ -10,7 +10,8 @@ corpus is not needed to know that:
    occurs twice as a whole (same bytes, same offset) is a repeat as a whole. Both settle nearly all text, at 16 bytes per 170.
 3. What is left are runs at the edges of repeats, and one of each kind of whole repeat whose anchor also has other
    runs, as their windows may have equals at an edge. The windows of these are sorted as suffixes, first in each bucket, where repeats are
-   noted and one window of each kind goes on, then over all buckets by anchor. The suffix sort is a merge sort; two
+   noted and one window of each kind goes on, then over all buckets by anchor (a frequent anchor's windows part by a second
+   anchor; what one task gets of equal windows is one from each bucket at most). The suffix sort is a merge sort; two
    suffixes are compared by binary search for their common extension over prefix polynomial hashes. Neighbours in this
    order with a common extension of ``length`` are compared byte by byte before they count.
 """
@@ -30,6 +31,9 @@ LENGTH, GRAM = 400, 64
 SEGMENT = 1 << 20
 POSITION_BITS = np.uint64(24)
 _LOW = (np.uint64(1) << POSITION_BITS) - np.uint64(1)
+#: Windows of an anchor that occurs more often are told apart by a second one before they meet in a task.
+HOT = 1_000
+_OTHER = np.uint64(0xA5B35705C36D2E19)
 
 
 def sliding_minimum(a: np.ndarray, width: int) -> np.ndarray:
@@ -60,6 +64,14 @@ def runs(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64 if k < 3 else np.uint64) for k in range(5))
 
 
+def second_anchors(text: bytes, first: int, last: int, length: int, gram: int) -> np.ndarray:
+    """For each window start from first to last, the least of another hash over the window's strings; it too depends on the window alone."""
+    piece = np.frombuffer(text, np.uint8)[first : last + length]
+    start = np.arange(len(piece) - gram + 1)
+    grams = T.slice_hash(T.prefix_hash(piece), start, start + gram)
+    return sliding_minimum(T.mix(grams ^ _OTHER), length - gram + 1)
+
+
 def common_extension(prefix: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
     """Length, up to limit, to which the suffixes at i and j agree, by binary search over the prefix hashes."""
     inverse = T.powers(len(prefix))[1]
@@ -219,7 +231,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                 starts.append(own - first[k] + size)
                 owner.append(np.full(len(own), i))
                 origin.append(own)
-                anchor.append(np.full(len(own), g[k]))
+                # a frequent anchor's windows part by a second anchor, so that those with text of their own around it spread over the slices
+                anchor.append(g[k] ^ second_anchors(texts[i], first[k], last[k], length, gram) if n_g[k] > HOT else np.full(len(own), g[k]))
                 size += last[k] - first[k] + length
         edges: dict[int, list] = {}
         if starts:
