@@ -296,3 +296,22 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     order = Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).orderBy(*(F.xxhash64(F.to_json(F.struct(F.col(f"`{c}`").alias("v")))) for c in others) or [F.lit(0)])
     return left.withColumn("_kept_at", F.row_number().over(order)).where("_kept_at = 1").drop("_kept_at")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, count(*) OVER () AS n FROM documents),
+w AS (SELECT rid, n, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+s AS (SELECT rid, n, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+t AS (SELECT rid, n, sh, count(*) AS tf FROM s GROUP BY 1, 2, 3),
+f AS (SELECT sh, count(*) AS df FROM t GROUP BY 1),
+x AS (SELECT rid, sh, df, tf * (1 + ln((n + 1.0) / (df + 1.0))) AS weight FROM t JOIN f USING (sh)),
+total AS (SELECT rid, sum(weight) AS whole FROM x GROUP BY 1),
+pairs AS (SELECT a.rid AS a, b.rid AS b, sum(least(a.weight, b.weight)) AS m FROM x a JOIN x b ON a.sh = b.sh AND a.rid < b.rid WHERE a.df > 1 GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN total p ON p.rid = a JOIN total q ON q.rid = b WHERE m / (p.whole + q.whole - m) >= 0.8
+  UNION SELECT p.rid, q.rid FROM d p JOIN d q ON p.text = q.text AND p.rid < q.rid WHERE p.text <> ''),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM reach r JOIN ways l ON l.a = r.other),
+found AS (SELECT r.rid, min(o.doc_id) AS class_id, count(*) AS class_size FROM reach r JOIN d o ON o.rid = r.other GROUP BY 1)
+SELECT doc_id, class_id, class_size::BIGINT AS class_size, doc_id = class_id AS kept FROM d JOIN found USING (rid)
+"""

@@ -77,3 +77,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op1_decontaminate"] = decontaminate.SQL
+ORACLES["op9_near_dedup"] = near_dedup.SQL
