@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from ._store import release
+
 #: Compressed input bytes behind one shuffle partition.
 PART_BYTES = 8 << 20
 #: Buckets dealt to one shuffle partition; several small ones even out the load and bound a group's memory.
@@ -114,6 +116,8 @@ def deal_texts(docs: DataFrame, n: int, spread: int = SPREAD) -> DataFrame:
                 into[1].append(t)
             if by:
                 yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array([pack_texts(*v) for v in by.values()], pa.binary())], ["p", "payload"])
+            del ids, texts, held, by
+        release()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return slim.mapInArrow(deal, "p int, payload binary").repartition(n, "p")
@@ -144,6 +148,7 @@ def ask(dealt: DataFrame, slices: int, hashes: Callable) -> DataFrame:
             if b > a:
                 qs.append(q)
                 data.append(frame([pack_sorted(h[a:b]), *(pack_array(s[a:b].astype(np.uint32)) for s in sides)]))
+        release()
         return pa.table({"p": pa.array([p] * len(qs), pa.int32()), "q": pa.array(qs, pa.int32()), "asked": pa.array(data, pa.binary())})
 
     return dealt.groupBy("p").applyInArrow(group, "p int, q int, asked binary")
@@ -194,6 +199,7 @@ def answer(asked: DataFrame, sides: int, n: int) -> DataFrame:
         for h in arrays:
             at = np.searchsorted(every, h)
             out.append(frame([pack_array(np.minimum(s[at], 0xFFFFFFFF).astype(np.uint32)) for s in sums]))
+        release()
         return pa.table({"p": table.column("p"), "q": table.column("q"), "answer": pa.array(out, pa.binary())})
 
     counted = asked.repartition(n, "q").groupBy("q").applyInArrow(group, "p int, q int, answer binary")
@@ -209,6 +215,8 @@ def with_answers(dealt: DataFrame, answers: DataFrame, sides: int, work: Callabl
         parts = [[unpack_array(x, np.uint32) for x in unframe(data[i])] for i in order]
         sums = [np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.uint32) for k in range(sides)]
         ids, texts = bucket_texts(left.column("payload").to_pylist())
-        return work(left.column("p")[0].as_py(), ids, texts, sums)
+        out = work(left.column("p")[0].as_py(), ids, texts, sums)
+        release()
+        return out
 
     return dealt.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(group, schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 
 import pyarrow as pa
@@ -27,10 +26,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Give back what earlier work of this process has freed; Python workers serve stage after stage."""
-    gc.collect()
+    """Give back what work of this process has freed; Python workers serve stage after stage, and the allocator keeps freed arrays."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # not glibc
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of those taken."""
+    out = []
+    for name in names:
+        while name in taken or name in out:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._store import release
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -147,33 +148,51 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     return out
 
 
+def _fields(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+
+def _hits_by_text(texts: list[bytes], windows: Windows):
+    """For each text: its words, the merged spans of its hits, and the items that hit it; texts go into FM-indexes of about SHARD_BYTES."""
+    for part in T.portions([len(t) for t in texts], SHARD_BYTES):
+        counts, text, first, size, window = shard_hits(texts[part], windows)
+        order = np.argsort(text, kind="stable")
+        cuts = np.searchsorted(text[order], np.arange(part.stop - part.start + 1))
+        for n, a, b in zip(counts.tolist(), cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            spans = _merge(first[own], first[own] + size[own]) if b > a else []
+            yield n, spans, sorted({i for w in window[own] for i in windows.items[w]})
+
+
 def _search(docs: DataFrame, windows: Windows) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(windows)
     at = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += ", n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<long>"
+    schema = _fields(docs) + ", n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<long>"
 
     def search(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            for part in T.portions([len(t) for t in texts], SHARD_BYTES):
-                counts, text, first, size, window = shard_hits(texts[part], held.value)
-                order = np.argsort(text, kind="stable")
-                cuts = np.searchsorted(text[order], np.arange(part.stop - part.start + 1))
-                spans, items, hits = [], [], []
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    own = order[a:b]
-                    merged = _merge(first[own], first[own] + size[own]) if b > a else []
-                    spans.append([{"start": x, "stop": y} for x, y in merged])
-                    hits.append(sum(y - x for x, y in merged))
-                    items.append(sorted({i for w in window[own] for i in held.value.items[w]}))
-                slice_ = batch.slice(part.start, part.stop - part.start)
-                new = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*slice_.columns, *new], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
+            rows = list(_hits_by_text(texts, held.value))
+            new = [
+                pa.array([n for n, _, _ in rows], pa.int64()),
+                pa.array([sum(y - x for x, y in spans) for _, spans, _ in rows], pa.int64()),
+                pa.array([[{"start": x, "stop": y} for x, y in spans] for _, spans, _ in rows], pa.list_(_SPAN)),
+                pa.array([items for _, _, items in rows], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
+        release()
 
     return docs.mapInArrow(search, schema)
 
 
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    data = text.encode()
+    places = [m.span() for m in _WORD.finditer(data.translate(_LOWER))]
+    edges = [0, *(x for a, b in spans for x in (places[a][0], places[b - 1][1])), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
+
+
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
     """Results of two blocks over the same documents, row by row: spans and items are united with array functions."""
     known = [c for c in left.columns if c not in ("n_words", "n_hit", "spans", "items")]
@@ -218,31 +237,34 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the words of benchmark passages: hit spans are cut from the text, other text stays as it is, all columns kept.
 
-    A cut takes the words of the span and what stands between them. Documents without a hit are returned unchanged.
+    A cut takes the words of the span and what stands between them. Documents without a hit are returned unchanged. With one block of
+    benchmark windows, search and cut are one pass; spans of several blocks are united first.
     """
     names = docs.columns
     renamed = docs.select(*(F.col(f"`{c}`").alias(c if c == "text" else f"_c{i}") for i, c in enumerate(names)))
-    found = find_leaks(renamed, benchmark, window)
-    at = found.columns.index("text"), found.columns.index("spans")
+    blocks = item_blocks(benchmark, window, block_words)
+    windows = next(blocks)
+    single = next(blocks, None) is None
+    found = renamed if single else find_leaks(renamed, benchmark, window, block_words)
+    held = docs.sparkSession.sparkContext.broadcast(windows if single else None)
+    at = names.index("text")
 
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist()
-            for i, own in enumerate(spans):
-                if own:
-                    data = texts[i].encode()
-                    places = [m.span() for m in _WORD.finditer(data.translate(_LOWER))]
-                    edges = [0, *(x for s in own for x in (places[s["start"]][0], places[s["stop"] - 1][1])), len(data)]
-                    texts[i] = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
-            columns = [pa.array(texts, pa.string()) if k == at[0] else c for k, c in enumerate(batch.columns)][: len(names)]
+            texts = batch.column(at).to_pylist()
+            if single:
+                spans = [s for _, s, _ in _hits_by_text([(t or "").encode() for t in texts], held.value)]
+            else:
+                spans = [[(s["start"], s["stop"]) for s in own] for own in batch.column(batch.schema.names.index("spans")).to_pylist()]
+            texts = [without_spans(t, own) if own else t for t, own in zip(texts, spans)]
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(names)])
+        release()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema)
-    out = found.mapInArrow(cut, schema)
-    return out.toDF(*names)
+    return found.mapInArrow(cut, _fields(renamed)).toDF(*names)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from . import _exchange as X, _text as T
-from ._store import shared_folder
+from ._store import release, shared_folder
 from .language_id import held_out
 
 U32 = np.uint64(32)
@@ -144,6 +144,7 @@ def fit(docs: DataFrame) -> Model:
                     rows += _sliced(*np.unique(keys, return_counts=True), slices, kind)
                 q, kind, data = zip(*rows)
                 yield pa.record_batch([pa.array(q, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["q", "kind", "data"])
+        release()
 
     def slice_counts(table: pa.Table) -> pa.Table:
         q = table.column("q")[0].as_py()
@@ -171,6 +172,7 @@ def fit(docs: DataFrame) -> Model:
                     if b > a:
                         rows.append((r, X.frame([bytes([at]), X.pack_sorted(words[a:b].astype(np.uint64)), *(X.pack_array(c[a:b]) for c in columns)])))
         r, data = [x[0] for x in rows] + [-1], [x[1] for x in rows] + [str(sums).encode()]
+        release()
         return pa.table({"r": pa.array(r, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def word_stats(table: pa.Table) -> pa.Table:
@@ -283,6 +285,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 rows = batch.slice(part.start, part.stop - part.start)
                 columns = [pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(10 ** (-score / n))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *columns], [*batch.schema.names, *new])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_tokens long, n_known long, base_score double, score double, perplexity double"
     return docs.mapInArrow(work, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _exchange as X, _text as T
-from ._store import written
+from ._store import fresh, release, written
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: Texts in a block of a query set, and of the texts it is compared with.
@@ -152,6 +152,7 @@ def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             a, b, va, vb, wa, wb = (batch.column(i).to_pylist() for i in range(6))
             hit = [i for i in range(len(a)) if vector_similarity(va[i], vb[i], wa[i], wb[i]) >= threshold - 1e-6]
             yield pa.record_batch([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())], ["a", "b"])
+        release()
 
     return sides.mapInArrow(verify, "a long, b long")
 
@@ -289,13 +290,14 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class, all columns kept. Of rows equal in doc_id and text one stays."""
-    kept = near_duplicate_classes(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    digest = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (digest == kept["_kept_digest"])
+    key, mark, place = fresh(docs.columns, "kept_id", "kept_digest", "kept_at")
+    kept = near_duplicate_classes(docs, **options).where("kept").select(F.col("doc_id").alias(key), F.col("digest").alias(mark)).distinct()
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    same = docs["doc_id"].eqNullSafe(kept[key]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == kept[mark])
     left = docs.join(kept, same, "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).orderBy(*(F.xxhash64(F.to_json(F.struct(F.col(f"`{c}`").alias("v")))) for c in others) or [F.lit(0)])
-    return left.withColumn("_kept_at", F.row_number().over(order)).where("_kept_at = 1").drop("_kept_at")
+    order = Window.partitionBy("doc_id", digest).orderBy(*(F.xxhash64(F.to_json(F.struct(F.col(f"`{c}`").alias("v")))) for c in others) or [F.lit(0)])
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
 
 
 SQL = r"""

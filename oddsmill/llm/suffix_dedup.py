@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _exchange as X, _text as T
+from ._store import fresh, release
 
 LENGTH, GRAM = 400, 64
 #: Windows of one text looked at together; their number must stay under 2**POSITION_BITS.
@@ -288,6 +289,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
             for p, columns in found.items():
                 out_p.append(p)
                 out.append(_covers(*columns))
+        del buffers, starts, bucket, owner, origin
+        release()
         return pa.table({"p": pa.array(out_p, pa.int32()), "covers": pa.array(out, pa.binary())})
 
     covers = edges.repartition(n, "q").groupBy("q").applyInArrow(sort_edges, "p int, covers binary").repartition(n, "p")
@@ -318,6 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                     rows[k].append(v)
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept_sha256": pa.string(), "digest": pa.string(), "kept": pa.binary()}
+        release()
         return pa.table({k: pa.array(rows[k], kinds[k]) for k in rows if with_bytes or k != "kept"})
 
     return dealt.groupBy("p").cogroup(covers.groupBy("p")).applyInArrow(cut, schema)
@@ -329,14 +333,15 @@ def stripped_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows that share a doc_id and differ in text are told apart by text.
     """
     found = remove_repeats(docs, length).where("n_removed > 0")
-    cut = found.select(F.col("doc_id").alias("_cut_id"), F.col("digest").alias("_cut_digest"), F.col("kept").alias("_cut")).dropDuplicates(["_cut_id", "_cut_digest"])
+    key, digest, text = fresh(docs.columns, "cut_id", "cut_digest", "cut_text")
+    cut = found.select(F.col("doc_id").alias(key), F.col("digest").alias(digest), F.col("kept").alias(text)).dropDuplicates([key, digest])
 
     def decode(batches):
         for batch in batches:
             texts = [x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], batch.schema.names)
 
-    cut = cut.mapInArrow(decode, "_cut_id long, _cut_digest string, _cut string")
-    same = docs["doc_id"].eqNullSafe(cut["_cut_id"]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == cut["_cut_digest"])
+    cut = cut.mapInArrow(decode, f"{key} long, {digest} string, {text} string")
+    same = docs["doc_id"].eqNullSafe(cut[key]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == cut[digest])
     out = docs.join(cut, same, "left")
-    return out.select(*(F.coalesce("_cut", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.coalesce(F.col(text), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
