@@ -12,7 +12,9 @@ The vocabulary file is named by a path that must exist on every worker; it's rea
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import threading
 from collections.abc import Iterable
 
 import duckdb
@@ -181,14 +183,34 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+_rest: list[threading.Timer] = []
+#: Seconds without work after which a process gives its codec up; other stages then have the memory.
+IDLE = 2.0
 
 
 def codec(path: str, pattern: str) -> Codec:
     """The codec of this process; Python workers are used for many tasks."""
-    if (path, pattern) not in _codecs:
+    while _rest:
+        _rest.pop().cancel()
+    own = _codecs.get((path, pattern))
+    if own is None:
         release()
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+        own = _codecs[path, pattern] = Codec(path, pattern)
+    return own
+
+
+def rest() -> None:
+    """The end of a task's work with the codec."""
+
+    def drop() -> None:
+        _codecs.clear()
+        gc.collect()
+        release()
+
+    timer = threading.Timer(IDLE, drop)
+    timer.daemon = True
+    _rest.append(timer)
+    timer.start()
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -218,6 +240,8 @@ def encode_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None)
                 back.append(data)
             new = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "ids", "decoded"])
+        del own
+        rest()
 
     return docs.mapInArrow(work, schema)
 
@@ -236,6 +260,8 @@ def decode_ids(rows: DataFrame, column: str = "ids", vocabulary: tuple[str, str]
             back = own.decode_lists([x or [] for x in lists])
             new = pa.array([None if x is None else b for x, b in zip(lists, back)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "decoded"])
+        del own
+        rest()
 
     return rows.mapInArrow(work, schema)
 
@@ -254,6 +280,8 @@ def token_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) ->
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del own
+        rest()
 
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
