@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import release
+from ._store import release, small_batches
 
 #: Compressed input bytes behind one shuffle partition.
 PART_BYTES = 8 << 20
@@ -101,6 +101,7 @@ def deal_texts(docs: DataFrame, n: int, spread: int = SPREAD) -> DataFrame:
     The same frame may be used several times in one plan: its shuffle is then reused.
     """
     buckets = n * spread
+    small_batches(docs.sparkSession)
 
     def deal(batches):
         for batch in batches:
@@ -133,11 +134,12 @@ def bucket_texts(payloads) -> tuple[list[list], list[bytes]]:
     return [sorted(held[t], key=lambda x: (x is None, x or 0)) for t in texts], texts
 
 
-def ask(dealt: DataFrame, slices: int, hashes: Callable) -> DataFrame:
+def ask(dealt: DataFrame, n: int, hashes: Callable) -> DataFrame:
     """Rows (p, q, asked): for each bucket and slice, what ``hashes(ids, texts)`` returns as a sorted array and columns of counts beside it.
 
-    ``hashes`` gives (sorted distinct uint64 hashes, [uint32 arrays]). Slices are ranges of the hash.
+    ``hashes`` gives (sorted distinct uint64 hashes, [uint32 arrays]). Slices are ranges of the hash, SPREAD to a partition.
     """
+    slices = n * SPREAD
 
     def group(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()

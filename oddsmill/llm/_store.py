@@ -34,6 +34,18 @@ def release() -> None:
         pass  # not glibc
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python; Spark's own bound of 10,000 rows can be hundreds of MB of long texts.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS and BATCH_BYTES where it is larger."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be none of those taken."""
     out = []

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
-from ._store import release
+from ._store import release, small_batches
 
 #: Bytes of text tokenized at a time, pieces contracted by one recursive query, and pieces remembered per generation.
 PORTION, WORDS, KEPT = 1 << 20, 12_000, 200_000
@@ -226,6 +226,7 @@ def encode_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None)
     change nothing; a column of docs named ids or decoded is replaced.
     """
     path, pattern = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")))
     at = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>, decoded binary"
@@ -269,6 +270,7 @@ def decode_ids(rows: DataFrame, column: str = "ids", vocabulary: tuple[str, str]
 def token_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the same run, with digests taken in the task."""
     path, pattern = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def work(batches):
         own = codec(path, pattern)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
-from ._store import release
+from ._store import release, small_batches
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -165,6 +165,7 @@ def _hits_by_text(texts: list[bytes], windows: Windows):
 
 
 def _search(docs: DataFrame, windows: Windows) -> DataFrame:
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(windows)
     at = docs.columns.index("text")
     schema = _fields(docs) + ", n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<long>"
@@ -249,6 +250,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     windows = next(blocks)
     single = next(blocks, None) is None
     found = renamed if single else find_leaks(renamed, benchmark, window, block_words)
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(windows if single else None)
     at = names.index("text")
 

@@ -20,6 +20,8 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ._store import release, small_batches
+
 #: Winning paths kept per host, best first.
 PATHS_PER_HOST = 16
 
@@ -221,6 +223,7 @@ def host_paths(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFr
             keys = list(tally)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(tally.values()), pa.float64())], ["host", "path", "votes"])
 
+    small_batches(pages.sparkSession)
     votes = pages.select("url", "html").mapInArrow(vote, "host string, path string, votes double")
     total = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("votes") * 1000).cast("long")).alias("votes"))
     order = Window.partitionBy("host").orderBy(F.col("votes").desc(), "path")
@@ -256,6 +259,7 @@ def extracted(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFra
             sources, paths = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
             texts = [Page(s).text(p or []) for s, p in zip(sources, paths)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, "text"])
+        release()
 
     found = joined.select(*names, "_html", "paths").mapInArrow(extract, out_schema)
     return found.toDF(*keep, "text")

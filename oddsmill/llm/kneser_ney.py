@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from . import _exchange as X, _text as T
-from ._store import release, shared_folder
+from ._store import release, shared_folder, small_batches
 from .language_id import held_out
 
 U32 = np.uint64(32)
@@ -132,6 +132,7 @@ def fit(docs: DataFrame) -> Model:
     """A model of docs(text); a null text is empty and still has its end token. Every row counts, repeated rows too."""
     spark = docs.sparkSession
     slices = X.partitions_for(docs)
+    small_batches(spark)
     folder = f"{shared_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
 
     def count(batches):

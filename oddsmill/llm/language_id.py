@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._store import release, small_batches
 
 DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20
 #: Languages a model may hold; more are an error, as the profiles are broadcast.
@@ -117,6 +118,7 @@ def language_counts(rows: DataFrame) -> DataFrame:
             key, n = np.array(list(total), np.int64), np.array(list(total.values()), np.int64)
             yield pa.record_batch([pa.array([names[i] for i in key // SYMBOLS**3], pa.string()), pa.array(key % SYMBOLS**3), pa.array(n)], ["lang", "code", "n"])
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -142,6 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = SE
     A null text, one without a letter, and any text if the model knows no language, is ``und`` with score 0. Of languages with one
     cosine the first in order wins. Only the text is looked at; columns of docs with the new names are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")))
     at = docs.columns.index("text")
     names, prototypes = model
@@ -166,6 +169,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = SE
                     langs.append(names[best[i]] if known else "und")
                     scores.append(float(top[i]) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     return docs.mapInArrow(work, schema)

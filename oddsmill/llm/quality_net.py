@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._store import release, small_batches
+
 FILTERS, WIDTH, STRIDE, CHUNK, SEED = 16, 6, 2, 512, 10
 FIT_ROWS, EPOCHS, BATCH, RATE = 1_500, 30, 50, 0.02
 #: Bytes of text convolved at a time.
@@ -139,6 +141,7 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
 
     A null text is empty; an empty text is scored like spaces. Columns of docs named score are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "score"))
     at = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -147,6 +150,7 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
         for batch in batches:
             scores = [held.value.score(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
     return docs.mapInArrow(work, schema)
