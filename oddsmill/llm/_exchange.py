@@ -24,6 +24,8 @@ from ._store import release, small_batches
 
 #: Compressed input bytes behind one shuffle partition.
 PART_BYTES = 8 << 20
+#: Compressed input bytes behind one slice of the hash space.
+SLICE_BYTES = 2 << 20
 #: Buckets dealt to one shuffle partition; several small ones even out the load and bound a group's memory.
 SPREAD = 4
 
@@ -134,12 +136,17 @@ def bucket_texts(payloads) -> tuple[list[list], list[bytes]]:
     return [sorted(held[t], key=lambda x: (x is None, x or 0)) for t in texts], texts
 
 
-def ask(dealt: DataFrame, n: int, hashes: Callable) -> DataFrame:
+def slices_for(df: DataFrame, n: int) -> int:
+    """Slices of the hash space: one for SLICE_BYTES of input, at least n. Arrays number buckets x slices at most, and no more than hashes."""
+    size = estimated_bytes(df)
+    return max(n, math.ceil(size / SLICE_BYTES)) if size is not None else n
+
+
+def ask(dealt: DataFrame, slices: int, hashes: Callable) -> DataFrame:
     """Rows (p, q, asked): for each bucket and slice, what ``hashes(ids, texts)`` returns as a sorted array and columns of counts beside it.
 
-    ``hashes`` gives (sorted distinct uint64 hashes, [uint32 arrays]). Slices are ranges of the hash, SPREAD to a partition.
+    ``hashes`` gives (sorted distinct uint64 hashes, [uint32 arrays]). Slices are ranges of the hash.
     """
-    slices = n * SPREAD
 
     def group(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
