@@ -144,9 +144,10 @@ def daily(store: Store, venue: str) -> DataFrame:
 
 def diverge(store: Store, args) -> None:
     aligned = D.align_pairs(pairs_of(store), daily(store, "pm"), daily(store, "k"))
-    per = D.pair_table(aligned)
+    per = D.pair_table(aligned).join(store.read("matches").select("pm_id", "k_id", "basis_risk"), ["pm_id", "k_id"])
     T.write_csv(per, f"{args.out}/divergence_pairs", F.col("mean_abs").desc(), "pm_id", "k_id")
     T.write_csv(D.divergence_summary(per), f"{args.out}/divergence_summary")
+    T.write_csv(D.divergence_summary(per.where("not basis_risk")), f"{args.out}/divergence_summary_same_criteria")
     T.write_csv(D.lead_lag_summary(aligned), f"{args.out}/lead_lag", "lag")
     T.write_csv(D.histogram(aligned), f"{args.out}/spread_histogram", "bin")
     T.write_csv(D.case_studies(per), f"{args.out}/case_studies")
@@ -168,7 +169,8 @@ def predict(store: Store, args) -> None:
 
 
 def robustness(store: Store, args) -> None:
-    s = snapshots(store).where("horizon = '24h'").withColumn("segment", F.when(F.col("p") < 0.1, "longshot").when(F.col("p") > 0.9, "favourite").otherwise("middle"))
+    s = snapshots(store).where("horizon = '24h'")
+    T.write_csv(X.design_effect(s, "y", "cluster", "platform", n_boot=800), f"{args.out}/design_effect", "platform")
     T.write_csv(X.robustness(s), f"{args.out}/robustness", "platform", "segment")
 
 
@@ -176,7 +178,7 @@ def quality_report(store: Store, args) -> None:
     m, p = store.read("markets"), store.read("prices")
     h = Q.headline_markets(m)
     parts = {
-        "counts": Q.market_counts(m), "coverage": Q.date_coverage(m), "outcomes": Q.outcome_distribution(m), "categories": Q.top_categories(h), "prices": Q.price_stats(p, m),
+        "counts": Q.market_counts(m), "coverage": Q.date_coverage(h), "outcomes": Q.outcome_distribution(h), "categories": Q.top_categories(h), "prices": Q.price_stats(p, m),
         "base_rates": Q.base_rates(h), "months": Q.monthly_counts(h), "shares": Q.category_shares(h), "last_price": Q.last_price_calibration(p, h),
     }
     for name, rows in parts.items():

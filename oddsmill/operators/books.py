@@ -150,15 +150,15 @@ def evaluate(pairs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
 def depth_cost(shots: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """[A22] Mean slippage in points per platform and size, over the books that can fill it."""
     columns = [F.avg(slippage_points(F.col(f"vwap_{n}"), F.col("best_ask"))).alias(f"cost_{n}") for n in sizes]
-    return shots.groupBy("platform").agg(F.count(F.lit(1)).alias("books"), *columns)
+    return shots.where("best_ask is not null").groupBy("platform").agg(F.count(F.lit(1)).alias("books"), *columns)
 
 
 def depth_quartiles(shots: DataFrame, size: int = 200, least: int = 12) -> DataFrame:
     """[A23] Median slippage of thin, middle and deep books per platform with enough books."""
-    rows = shots.where(f"vwap_{size} is not null and best_ask is not null").withColumn("slip", slippage_points(F.col(f"vwap_{size}"), F.col("best_ask")))
+    rows = shots.where(f"vwap_{size} is not null and best_ask is not null and ask_depth > 0").withColumn("slip", slippage_points(F.col(f"vwap_{size}"), F.col("best_ask")))
     cuts = rows.groupBy("platform").agg(F.percentile("ask_depth", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     band = F.when(F.col("ask_depth") <= F.get("_q", F.lit(0)), "thin").when(F.col("ask_depth") <= F.get("_q", F.lit(1)), "middle").otherwise("deep")
-    return rows.join(cuts, "platform").groupBy("platform", band.alias("band")).agg(F.count(F.lit(1)).alias("books"), F.median("slip").alias("median_slip"))
+    return rows.join(cuts, "platform").groupBy("platform", band.alias("band")).agg(F.count(F.lit(1)).alias("books"), F.median("ask_depth").alias("median_depth"), F.median("slip").alias("median_slip"))
 
 
 def signal_summary(signals: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:

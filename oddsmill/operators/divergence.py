@@ -85,21 +85,24 @@ def lead_lag_summary(aligned: DataFrame, max_lag: int = 2, least_days: int = 20)
     return lead_lag(aligned, max_lag, least_days).groupBy("lag").agg(F.avg("corr").alias("mean_corr"), F.count("corr").alias("pairs"))
 
 
-#: Case study rules: a name, a predicate, and the column to sort by, descending. Each takes the first pair not taken before.
-CASES = (
-    ("widest", "n_days >= 5", "max_abs"),
-    ("persistent", "n_days >= 10 and pct_gt5 > 50", "mean_abs"),
-    ("decayed", "size(half_lives) >= 1 and n_days >= 10", "max_abs"),
-    ("tight", "pct_gt2 < 50", "n_days"),
-    ("typical", "n_days >= 5", "n_days"),
-)
+def case_rules(least_days: int = 30, long_days: int = 100) -> tuple[tuple[str, str, str], ...]:
+    """[T5] Rules in order: a name, a predicate over pairs with enough days, and the column to sort by, descending."""
+    rules = (
+        ("calm_then_violent", f"n_days >= {long_days} and max_abs >= 25", "n_days"),
+        ("one_large_gap", "max_abs >= 40 and mean_abs <= 4", "max_abs"),
+        ("persistent_offset", "mean_abs >= 3 and mean_abs / case when max_abs = 0 then 1 else max_abs end >= 0.5", "mean_abs"),
+        ("basis_risk", "basis_risk", "n_days"),
+        ("typical", "mean_abs <= 1.0", "n_days"),
+    )
+    return tuple((name, f"n_days >= {least_days} and {p}", column) for name, p, column in rules)
 
 
-def case_studies(table: DataFrame, cases=CASES) -> DataFrame:
-    """[T5] case_name, pm_id, k_id: rule by rule, the best pair that no rule before took.
+def case_studies(table: DataFrame, cases: tuple[tuple[str, str, str], ...] | None = None) -> DataFrame:
+    """[T5] case_name, pm_id, k_id: rule by rule, the best pair of table (the pair table with basis_risk) that no rule before took.
 
     As many candidates per rule as there are rules always hold the answer; these few are folded in one row.
     """
+    cases = cases or case_rules()
     marks = F.array_compact(F.array(*(F.when(F.expr(p), F.struct(F.lit(i).alias("rule"), F.lit(name).alias("case_name"), F.col(c).cast("double").alias("value"))) for i, (name, p, c) in enumerate(cases))))
     rows = table.select(*PAIR, F.explode(marks).alias("m")).select(*PAIR, "m.*")
     order = Window.partitionBy("rule").orderBy(F.col("value").desc(), *PAIR)

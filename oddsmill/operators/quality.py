@@ -23,11 +23,11 @@ def headline_markets(markets: DataFrame, min_hours: float = MIN_HOURS) -> DataFr
 def market_counts(markets: DataFrame, min_hours: float = MIN_HOURS) -> DataFrame:
     """[A3] total, headline, no_outcome, excluded_short per platform."""
     hours = lifetime_hours(F.col("open_ts"), F.col("close_ts"))
-    known = F.coalesce(F.col("outcome").isin("YES", "NO"), F.lit(False))
+    known = F.col("outcome").isin("YES", "NO")
     return markets.groupBy("platform").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(known & (hours >= min_hours)).alias("headline"),
-        F.count_if(~known).alias("no_outcome"),
+        F.count_if(F.col("outcome").isNull()).alias("no_outcome"),
         F.count_if(known & (hours < SHORT_HOURS)).alias("excluded_short"),
     )
 
@@ -50,11 +50,11 @@ def top_categories(markets: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def price_stats(prices: DataFrame, markets: DataFrame) -> DataFrame:
-    """[A7, J1] Per platform: rows, markets, rows without price, their percentage, mean coverage of a market's life."""
-    per = prices.groupBy("platform", "market_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("price").isNull()).alias("missing"), F.countDistinct(F.to_date(F.timestamp_seconds("ts"))).alias("days"))
+    """[A7, J1] Per platform: rows, markets, rows without price, their percentage, and mean coverage of the life (none counts as 0) of known markets."""
+    per = prices.groupBy("platform", "market_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("price").isNull()).alias("missing"))
     days = (F.unix_timestamp("close_ts") - F.unix_timestamp("open_ts")) / 86_400.0
-    joined = per.join(markets.select("platform", "market_id", days.alias("life")), ["platform", "market_id"], "left")
-    out = joined.groupBy("platform").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("markets"), F.sum("missing").alias("missing"), F.avg(coverage_ratio(F.col("days"), F.col("life"))).alias("mean_coverage"))
+    joined = per.join(markets.select("platform", "market_id", F.coalesce(days, F.lit(0.0)).alias("life")), ["platform", "market_id"], "left")
+    out = joined.groupBy("platform").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("markets"), F.sum("missing").alias("missing"), F.avg(F.when(F.col("life").isNotNull(), coverage_ratio(F.col("n"), F.col("life")))).alias("mean_coverage"))
     return out.withColumn("pct_missing", percent(F.col("missing"), F.col("n_rows")))
 
 

@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.prices import clip_probability, logit, momentum
-from .calibration import brier
+from ..functions.prices import clip_probability, logit, momentum, wilson_interval
+from .calibration import FAVOURITE, LONGSHOT, brier
 from .series import price_at_horizons, temporal_split
 
 Z = 1.959963984540054
@@ -76,14 +76,19 @@ def design_effect(rows: DataFrame, value: str, cluster: str, *keys: str, **optio
 
 
 def robustness(rows: DataFrame, least: int = 30, n_boot: int = 800) -> DataFrame:
-    """[X4] Per platform and segment of rows(platform, segment, cluster, p, y): is the error of the forecast significant, naively and by clusters?"""
-    errors = rows.withColumn("error", F.col("y") - F.col("p"))
-    enough = errors.groupBy("platform", "segment").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least).drop("_rows")
-    errors = errors.join(enough, ["platform", "segment"], "left_semi")
-    whole = cluster_bootstrap(errors, "error", "cluster", "platform", "segment", n_boot=n_boot)
-    naive = naive_interval(errors, "error", "platform", "segment").select("platform", "segment", F.col("low").alias("naive_low"), F.col("high").alias("naive_high"))
-    outside = lambda low, high: (F.col(low) > 0) | (F.col(high) < 0)
-    return whole.join(naive, ["platform", "segment"]).withColumns({"naive_significant": outside("naive_low", "naive_high"), "clustered_significant": outside("low", "high")})
+    """[X4] Per platform and segment (below 0.1, above 0.9) of rows(platform, cluster, p, y): does the implied price lie outside the interval of
+    the actual rate, by Wilson and by resampled clusters?"""
+    segment = F.when(F.col("p") < LONGSHOT, "longshot").when(F.col("p") > FAVOURITE, "favourite")
+    parts = rows.withColumn("segment", segment).where("segment is not null")
+    keys = ["platform", "segment"]
+    total = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("implied"), F.sum("y").alias("hits")).where(F.col("n") >= least)
+    low, high = wilson_interval(F.col("hits"), F.col("n"))
+    naive = total.select(*keys, "implied", low.alias("wilson_low"), high.alias("wilson_high"))
+    whole = cluster_bootstrap(parts.join(naive.select(*keys), keys, "left_semi"), "y", "cluster", *keys, n_boot=n_boot)
+    outside = lambda a, b: ~F.col("implied").between(F.col(a), F.col(b))
+    out = whole.join(naive, keys).withColumns({"naive_significant": outside("wilson_low", "wilson_high"), "clustered_significant": outside("low", "high")})
+    verdict = F.when(F.col("naive_significant") & F.col("clustered_significant"), "significant both ways").when(F.col("naive_significant"), "lost under clustering").otherwise("not significant either way")
+    return out.withColumn("verdict", verdict)
 
 
 def feature_frame(prices: DataFrame, markets: DataFrame, now: int = 86_400, before: int = 8 * 86_400) -> DataFrame:
@@ -103,6 +108,7 @@ def feature_frame(prices: DataFrame, markets: DataFrame, now: int = 86_400, befo
         F.col("now").alias("p_now"),
         logit(F.col("now")).alias("logit_now"),
         momentum(F.col("now"), F.col("before")).alias("momentum"),
+        F.col("before").isNotNull().cast("double").alias("has_momentum"),
         ((F.col("anchor") - F.col("_first")) / 86_400.0).alias("lifetime_days"),
         F.log1p(F.coalesce("volume", F.lit(0.0))).alias("log_volume"),
         (F.col("outcome") == "YES").cast("double").alias("y"),
@@ -135,7 +141,7 @@ def logistic(train: DataFrame, test: DataFrame, columns: list[str], c: float = 1
 
 
 def model_comparison(features: DataFrame, test_fraction: float = 0.3, least_train: int = 500, least_test: int = 200) -> DataFrame:
-    """[X7] Log loss and Brier score on later markets: the price, the price recalibrated, all features, and the base rate; with the gain over the price."""
+    """[X7] Log loss and Brier score on later markets: the price, the price recalibrated, all features, and the base rate; with the gains over the price and over the recalibrated price."""
     split = temporal_split(features.withColumn("_when", F.timestamp_seconds("anchor")), "_when", test_fraction).cache()
     train, test = split.where("not is_test"), split.where("is_test")
     n_train, n_test = train.count(), test.count()
@@ -143,14 +149,15 @@ def model_comparison(features: DataFrame, test_fraction: float = 0.3, least_trai
         raise ValueError(f"{n_train} rows to train and {n_test} to test are too few")
     recalibrated = logistic(train, test, ["logit_now"]).withColumnRenamed("prob", "p_recalibrated")
     wide, names = design_columns(train, recalibrated)
-    full = logistic(design_columns(train, train)[0], wide, ["logit_now", "momentum", "lifetime_days", *names]).withColumnRenamed("prob", "p_full")
-    base = train.agg(F.avg("y").alias("p_base"))
+    full = logistic(design_columns(train, train)[0], wide, ["logit_now", "momentum", "has_momentum", "lifetime_days", *names]).withColumnRenamed("prob", "p_full")
+    base = test.agg(F.avg("y").alias("p_base"))
     scored = full.crossJoin(F.broadcast(base))
     views = F.explode(F.array(*(F.struct(F.lit(k).alias("model"), F.col(c).alias("p")) for k, c in (("price", "p_now"), ("recalibrated", "p_recalibrated"), ("full", "p_full"), ("base_rate", "p_base")))))
-    long = scored.select("y", F.col("p_now"), views.alias("v")).select("y", "p_now", "v.*")
+    long = scored.select("y", "p_now", "p_recalibrated", views.alias("v")).select("y", "p_now", "p_recalibrated", "v.*")
     loss = long.groupBy("model").agg(log_loss(F.col("y"), F.col("p")).alias("log_loss"), brier(F.col("p"), F.col("y")).alias("brier"))
     gain = paired_loss(long, "p_now", "p", "model").select("model", F.col("mean_difference").alias("gain"), "std_error", "t_stat", "n")
-    return loss.join(gain, "model")
+    beyond = paired_loss(long, "p_recalibrated", "p", "model").select("model", F.col("mean_difference").alias("gain_over_recalibrated"), F.col("t_stat").alias("t_over_recalibrated"))
+    return loss.join(gain, "model").join(beyond, "model")
 
 
 def wilson(hits: int, n: int, z: float = 1.96) -> tuple[float, float]:

@@ -200,10 +200,25 @@ def apply_verdicts(matches: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
+def sheet_orientation(outcomes: Column, leg: Column, subtitle: Column, title: Column) -> Column:
+    """[V8] As V6 for two named outcomes, over all words of subtitle (else title) and title, none left out and accents as breaks."""
+
+    def plain(text: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9 ]+", " "), " +"), lambda w: w != ""))
+
+    subject = F.array_union(plain(F.coalesce(F.nullif(subtitle, F.lit("")), title)), plain(title))
+    share = lambda own: F.size(F.array_intersect(own, subject)) / F.greatest(F.size(own), F.lit(1))
+    low = F.transform(outcomes, F.lower)
+    yes_no = (low == F.array(F.lit("yes"), F.lit("no"))) | (low == F.array(F.lit("no"), F.lit("yes")))
+    ours, theirs = share(plain(F.get(outcomes, leg))), share(plain(F.get(outcomes, 1 - leg)))
+    return F.when(yes_no | (F.size(outcomes) != 2), "na").when((ours >= 0.6) & (theirs < ours), "same").when((theirs >= 0.6) & (ours < theirs), "inverse").otherwise("unclear")
+
+
 def review_sheet(pairs: DataFrame, length: int = 220) -> DataFrame:
     """[V8] The columns a reviewer reads, with the rules cut to a readable length and the leg's outcome named."""
     leg = F.get("pm_outcomes", F.col("pm_leg"))
-    return pairs.select("pm_id", "k_id", "series", "pm_title", leg.alias("pm_leg_outcome"), "k_title", "k_sub", orientation(F.col("pm_outcomes"), F.col("pm_leg"), F.col("k_sub")).alias("orientation"), F.substring("pm_desc", 1, length).alias("pm_rules"), F.substring("k_rules", 1, length).alias("k_rules"))
+    oriented = sheet_orientation(F.col("pm_outcomes"), F.col("pm_leg"), F.col("k_sub"), F.col("k_title"))
+    return pairs.select("pm_id", "k_id", "series", "pm_title", "pm_outcomes", "pm_leg", leg.alias("pm_leg_outcome"), "k_title", "k_sub", oriented.alias("orientation"), F.substring("pm_desc", 1, length).alias("pm_desc"), F.substring("k_rules", 1, length).alias("k_rules"))
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:

@@ -230,7 +230,8 @@ def spread_histogram(spark, d):
 @query()
 def case_studies(spark, d):
     """T5; tests hold it against a loop."""
-    return D.case_studies(D.pair_table(aligned(spark, d)))
+    per = D.pair_table(aligned(spark, d)).join(W.pairs(spark, d).select("pm_id", "k_id", "basis_risk"), ["pm_id", "k_id"])
+    return D.case_studies(per, D.case_rules(least_days=5, long_days=12))
 
 
 # --- backtest -------------------------------------------------------------------------------------------------------
@@ -281,15 +282,15 @@ def book_snapshots(spark, d):
     return shots(spark, d)
 
 
-@query(W.with_views("bk", f"SELECT platform, count(*) AS books, {r(*(f'avg((vwap_{n} - best_ask) * 100) AS cost_{n}' for n in B.SIZES))} FROM bs LEFT JOIN (SELECT platform, market_id, {VWAPS} FROM vw GROUP BY 1, 2) USING (platform, market_id) GROUP BY 1"))
+@query(W.with_views("bk", f"SELECT platform, count(*) AS books, {r(*(f'avg((vwap_{n} - best_ask) * 100) AS cost_{n}' for n in B.SIZES))} FROM bs LEFT JOIN (SELECT platform, market_id, {VWAPS} FROM vw GROUP BY 1, 2) USING (platform, market_id) WHERE best_ask IS NOT NULL GROUP BY 1"))
 def depth_cost(spark, d):
     """A22, B11."""
     return B.depth_cost(shots(spark, d))
 
 
-@query(W.with_views("bk", f"""SELECT platform, CASE WHEN ask_depth <= q[1] THEN 'thin' WHEN ask_depth <= q[2] THEN 'middle' ELSE 'deep' END AS band, count(*) AS books, {r('median(slip) AS median_slip')}
+@query(W.with_views("bk", f"""SELECT platform, CASE WHEN ask_depth <= q[1] THEN 'thin' WHEN ask_depth <= q[2] THEN 'middle' ELSE 'deep' END AS band, count(*) AS books, {r('median(ask_depth) AS median_depth', 'median(slip) AS median_slip')}
   FROM (SELECT *, quantile_cont(ask_depth, [0.25, 0.75]) OVER (PARTITION BY platform) AS q, count(*) OVER (PARTITION BY platform) AS c FROM
-    (SELECT platform, ask_depth, (vwap - best_ask) * 100 AS slip FROM bs JOIN vw USING (platform, market_id) WHERE side = 'ask' AND n = 200 AND vwap IS NOT NULL)) WHERE c >= 12 GROUP BY 1, 2"""))
+    (SELECT platform, ask_depth, (vwap - best_ask) * 100 AS slip FROM bs JOIN vw USING (platform, market_id) WHERE side = 'ask' AND n = 200 AND vwap IS NOT NULL AND ask_depth > 0)) WHERE c >= 12 GROUP BY 1, 2"""))
 def depth_quartiles(spark, d):
     """A23."""
     return B.depth_quartiles(shots(spark, d))
@@ -419,27 +420,27 @@ def market_counts(spark, d):
     return Q.market_counts(W.order_markets(spark, d))
 
 
-@query(W.with_views("om", "SELECT platform, min(close_ts)::DATE AS first_close, max(close_ts)::DATE AS last_close FROM om GROUP BY 1"))
+@query(W.with_views("hm", "SELECT platform, min(close_ts)::DATE AS first_close, max(close_ts)::DATE AS last_close FROM hm GROUP BY 1"))
 def date_coverage(spark, d):
     """A4."""
-    out = Q.date_coverage(W.order_markets(spark, d))
+    out = Q.date_coverage(headline(spark, d))
     return out.select("platform", F.to_date("first_close").alias("first_close"), F.to_date("last_close").alias("last_close"))
 
 
-@query(W.with_views("om", "SELECT platform, outcome, count(*) AS n FROM om GROUP BY 1, 2"))
+@query(W.with_views("hm", "SELECT platform, outcome, count(*) AS n FROM hm GROUP BY 1, 2"))
 def outcome_distribution(spark, d):
     """A5."""
-    return Q.outcome_distribution(W.order_markets(spark, d))
+    return Q.outcome_distribution(headline(spark, d))
 
 
-@query(W.with_views("om", "SELECT platform, category, n, rn::INT AS at FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, category) AS rn FROM (SELECT platform, coalesce(category, '(none)') AS category, count(*) AS n FROM om GROUP BY 1, 2)) WHERE rn <= 3"))
+@query(W.with_views("hm", "SELECT platform, category, n, rn::INT AS at FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, category) AS rn FROM (SELECT platform, coalesce(category, '(none)') AS category, count(*) AS n FROM hm GROUP BY 1, 2)) WHERE rn <= 3"))
 def top_categories(spark, d):
     """A6, T1."""
-    return Q.top_categories(W.order_markets(spark, d), 3)
+    return Q.top_categories(headline(spark, d), 3)
 
 
-@query(W.with_views("pr em", f""", {EVENT_MARKETS} SELECT platform, sum(n)::BIGINT AS n_rows, count(*) AS markets, sum(missing)::BIGINT AS missing, {r('avg(CASE WHEN life <= 0 THEN 1.0 ELSE least(1.0, days / life) END) AS mean_coverage', 'round(sum(missing) * 100.0 / sum(n), 2) AS pct_missing')}
-  FROM (SELECT platform, market_id, count(*) AS n, count_if(price IS NULL) AS missing, count(DISTINCT ts // 86400) AS days FROM pr GROUP BY 1, 2) JOIN em2 USING (platform, market_id) GROUP BY 1"""))
+@query(W.with_views("pr em", f""", {EVENT_MARKETS} SELECT platform, sum(n)::BIGINT AS n_rows, count(*) AS markets, sum(missing)::BIGINT AS missing, {r('avg(CASE WHEN life <= 0 THEN 1.0 ELSE least(1.0, n / life) END) AS mean_coverage', 'round(sum(missing) * 100.0 / sum(n), 2) AS pct_missing')}
+  FROM (SELECT platform, market_id, count(*) AS n, count_if(price IS NULL) AS missing FROM pr GROUP BY 1, 2) JOIN em2 USING (platform, market_id) GROUP BY 1"""))
 def price_stats(spark, d):
     """A7, F8, F9."""
     return Q.price_stats(W.prices(spark, d), timed_markets(spark, d))
@@ -600,7 +601,13 @@ def sports_conflicts(spark, d):
 @query("""SELECT p_partkey::VARCHAR AS pm_id, CASE WHEN p_partkey % 6 <> 0 THEN 'na' WHEN split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) THEN 'unclear' ELSE 'inverse' END AS orientation FROM part""")
 def leg_orientation(spark, d):
     """V6."""
-    return V.review_sheet(review_pairs(spark, d)).select("pm_id", "orientation")
+    return review_pairs(spark, d).select("pm_id", V.orientation(F.col("pm_outcomes"), F.col("pm_leg"), F.col("k_sub")).alias("orientation"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS pm_id, CASE WHEN p_partkey % 6 <> 0 THEN 'na' ELSE 'unclear' END AS orientation, CASE WHEN p_partkey % 6 <> 0 THEN 'Yes' ELSE split_part(p_name, ' ', 1) END AS pm_leg_outcome FROM part""")
+def review_sheet(spark, d):
+    """V8; the titles name both words, so neither outcome is the subject."""
+    return V.review_sheet(review_pairs(spark, d)).select("pm_id", "orientation", "pm_leg_outcome")
 
 
 # --- statistics -----------------------------------------------------------------------------------------------------
@@ -652,16 +659,18 @@ def design_effect(spark, d):
     return X.design_effect(errors(spark, d), "e", "cluster", "platform", n_boot=100)
 
 
-_SEGMENTED = "SELECT platform, CASE WHEN p < 0.5 THEN 'low' ELSE 'high' END AS segment, cluster, y - p AS e FROM sn WHERE horizon = '24h'"
+_SEGMENTED = "SELECT platform, CASE WHEN p < 0.1 THEN 'longshot' ELSE 'favourite' END AS segment, cluster, p, y AS e FROM sn WHERE horizon = '24h' AND (p < 0.1 OR p > 0.9)"
+_ENOUGH = f"SELECT * FROM ({_SEGMENTED}) QUALIFY count(*) OVER (PARTITION BY platform, segment) >= 8"
 
 
-@query(W.with_views("hz", BOOT.format(keys="platform, segment", source=f"SELECT * FROM ({_SEGMENTED}) QUALIFY count(*) OVER (PARTITION BY platform, segment) >= 30", n=100)) + f""",
-  nv AS (SELECT platform, segment, avg(e) - 1.959963984540054 * stddev_samp(e) / sqrt(count(*)) AS naive_low, avg(e) + 1.959963984540054 * stddev_samp(e) / sqrt(count(*)) AS naive_high FROM ({_SEGMENTED}) GROUP BY 1, 2)
-  SELECT platform, segment, n_clusters, n_obs, {r('mean', 'low', 'high', 'naive_low', 'naive_high')}, naive_low > 0 OR naive_high < 0 AS naive_significant, low > 0 OR high < 0 AS clustered_significant FROM tt JOIN bd USING (platform, segment) JOIN nv USING (platform, segment)""")
+@query(W.with_views("hz", BOOT.format(keys="platform, segment", source=_ENOUGH, n=100)) + f""",
+  nv AS (SELECT platform, segment, implied, {WILSON.replace('ci_low', 'wilson_low').replace('ci_high', 'wilson_high')} FROM (SELECT platform, segment, avg(p) AS implied, sum(e) AS hits, count(*) AS n FROM ({_SEGMENTED}) GROUP BY 1, 2)),
+  vd AS (SELECT *, implied NOT BETWEEN wilson_low AND wilson_high AS naive_significant, implied NOT BETWEEN low AND high AS clustered_significant FROM tt JOIN bd USING (platform, segment) JOIN nv USING (platform, segment))
+  SELECT platform, segment, n_clusters, n_obs, {r('mean', 'low', 'high', 'implied', 'wilson_low', 'wilson_high')}, naive_significant, clustered_significant,
+    CASE WHEN naive_significant AND clustered_significant THEN 'significant both ways' WHEN naive_significant THEN 'lost under clustering' ELSE 'not significant either way' END AS verdict FROM vd""")
 def robustness_table(spark, d):
     """X4."""
-    rows = W.snapshots(spark, d).where("horizon = '24h'").withColumn("segment", F.when(F.col("p") < 0.5, "low").otherwise("high"))
-    return X.robustness(rows, n_boot=100)
+    return X.robustness(W.snapshots(spark, d).where("horizon = '24h'"), least=8, n_boot=100)
 
 
 @query("WITH c AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.7) AS cut FROM orders) SELECT epoch_us(o_orderdate) > cut AS is_test, count(*) AS n, min(o_orderkey) AS first_key FROM orders, c GROUP BY 1")
@@ -679,7 +688,7 @@ def features(spark, d):
 _LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, {p})) / (1 - greatest(1e-6, least(1 - 1e-6, {p}))))"
 _FEATURES = W.with_views("st em", f""", sn1 AS (SELECT platform, market_id, arg_max(price, (ts, price)) FILTER (ts <= anchor - 86400) AS p_now, arg_max(price, (ts, price)) FILTER (ts <= anchor - 691200) AS p_before, min(ts) AS first_ts, any_value(anchor) AS anchor, any_value(volume) AS volume, any_value(outcome) AS outcome, any_value(category) AS category
    FROM cl JOIN em USING (platform, market_id) WHERE outcome IS NOT NULL GROUP BY 1, 2)
-  SELECT platform, market_id, CASE WHEN lower(category) IN ('sports', 'crypto', 'politics') THEN lower(category) WHEN lower(category) = 'weather' AND platform = 'pm' THEN 'weather' ELSE 'other' END AS bucket, anchor, {r('p_now', _LOGIT.format(p='p_now') + ' AS logit_now', 'CASE WHEN p_before IS NULL THEN 0 ELSE ' + _LOGIT.format(p='p_now') + ' - ' + _LOGIT.format(p='p_before') + ' END AS momentum', '(anchor - first_ts) / 86400.0 AS lifetime_days', 'ln(1 + coalesce(volume, 0)) AS log_volume')}, (outcome = 'YES')::INT::DOUBLE AS y FROM sn1 WHERE p_now IS NOT NULL""")
+  SELECT platform, market_id, CASE WHEN lower(category) IN ('sports', 'crypto', 'politics') THEN lower(category) WHEN lower(category) = 'weather' AND platform = 'pm' THEN 'weather' ELSE 'other' END AS bucket, anchor, {r('p_now', _LOGIT.format(p='p_now') + ' AS logit_now', 'CASE WHEN p_before IS NULL THEN 0 ELSE ' + _LOGIT.format(p='p_now') + ' - ' + _LOGIT.format(p='p_before') + ' END AS momentum', '(p_before IS NOT NULL)::INT::DOUBLE AS has_momentum', '(anchor - first_ts) / 86400.0 AS lifetime_days', 'ln(1 + coalesce(volume, 0)) AS log_volume')}, (outcome = 'YES')::INT::DOUBLE AS y FROM sn1 WHERE p_now IS NOT NULL""")
 
 
 @query(_FEATURES)

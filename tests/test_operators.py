@@ -76,10 +76,17 @@ def test_lead_lag(spark):
 
 
 def test_case_studies_take_each_pair_once(spark):
-    rows = [(f"p{i}", f"k{i}", 5 + i, float(i), float(10 * i), 60.0, 60.0, 0.0, [1.0]) for i in range(8)]
-    t = spark.createDataFrame(rows, "pm_id string, k_id string, n_days long, mean_abs double, max_abs double, pct_gt2 double, pct_gt5 double, pct_gt10 double, half_lives array<double>")
-    got = [(r.case_name, r.pm_id) for r in D.case_studies(t).collect()]
-    assert sorted(got) == [("decayed", "p5"), ("persistent", "p6"), ("typical", "p4"), ("widest", "p7")]
+    rows = [
+        ("a", "x", 120, 2.0, 50.0, False),  # first and second rule: taken by the first
+        ("b", "x", 60, 3.0, 45.0, False),  # second
+        ("c", "x", 200, 8.0, 10.0, True),  # third, before the fourth may have it
+        ("d", "x", 40, 1.0, 5.0, True),  # fourth
+        ("e", "x", 31, 0.5, 2.0, False),  # fifth
+        ("f", "x", 29, 0.1, 1.0, False),  # too short
+    ]
+    t = spark.createDataFrame(rows, "pm_id string, k_id string, n_days long, mean_abs double, max_abs double, basis_risk boolean")
+    got = {r.case_name: r.pm_id for r in D.case_studies(t).collect()}
+    assert got == {"calm_then_violent": "a", "one_large_gap": "b", "persistent_offset": "c", "basis_risk": "d", "typical": "e"}
 
 
 def backtest_days(spark, **change):
