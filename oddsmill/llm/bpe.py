@@ -27,7 +27,7 @@ from . import _text as T
 from ._store import release, small_batches
 
 #: Bytes of text tokenized at a time, pieces contracted by one recursive query, and pieces remembered per generation.
-PORTION, WORDS, KEPT = 1 << 20, 12_000, 200_000
+PORTION, WORDS, KEPT = 2 << 20, 24_000, 500_000
 #: A piece of more bytes is contracted in a table of its own, as the recursive query would keep every one of its many rounds.
 LONG = 192
 
