@@ -5,26 +5,23 @@
 2. The best container's path, its generalised tag-class steps from the root (digits dropped, so ``post-12`` and
    ``post-97`` are one), is the page's vote. Votes are summed per host in Spark; a page also votes, at a discount, for
    every other container in reach of its best, so that hosts settle on paths that work for most pages.
-3. Every page is extracted again below the first of its host's winning paths that it has; one without such a path falls back on
-   its own best container.
+3. Every page is extracted again below that of its own paths that has most votes on its host.
 
-Pages are streamed; only votes, a row per host and path, are shuffled, after partial aggregation.
+Pages are streamed; votes are rows of host, path and shape (the digest of a page's host and paths), added up before they are shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._store import release, small_batches
 
-#: Winning paths kept per host, best first.
-PATHS_PER_HOST = 16
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
 #: Elements that are never part of an article.
@@ -174,15 +171,14 @@ class Page:
         """The container of the highest score, the first of equals."""
         return max(self.containers, key=lambda c: (c.score, -c.index), default=None)
 
-    def votes(self) -> dict[str, float]:
+    def votes(self) -> dict[str, int]:
+        """Every path with text, with its votes in thousandths, 0 for those far from the best."""
         best = self.best()
-        if best is None or not best.score:
-            return {}
-        out: dict[str, float] = {}
+        out: dict[str, int] = {}
         for c in self.containers:
-            share = c.score / best.score
-            if share >= 0.5:
-                out[c.path] = max(out.get(c.path, 0.0), 1.0 if c is best else share / 2)
+            if c.score > 0:
+                share = c.score / best.score
+                out[c.path] = max(out.get(c.path, 0), 1000 if c is best else round(500 * share) if share >= 0.5 else 0)
         return out
 
     def text(self, paths: list[str]) -> str:
@@ -203,6 +199,11 @@ class Page:
         return "\n".join(t for k, t in self.blocks if k >= 0 and inside[k])
 
 
+def shape_of(host: str, paths) -> bytes:
+    """Pages of one host with the same paths have the same shape."""
+    return hashlib.blake2b("\0".join([host, *sorted(paths)]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -210,47 +211,67 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def host_paths(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
-    """host, paths array<string>: the winning paths of each host, best first."""
+def page_votes(pages: DataFrame) -> DataFrame:
+    """host, path, shape, votes: the pages' votes, added up per path and shape."""
 
     def vote(batches):
         for batch in batches:
-            tally: dict[tuple[str, str], float] = {}
+            tally: dict[tuple[str, str, bytes], int] = {}
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host = host_of(url)
-                for path, weight in Page(source).votes().items():
-                    tally[host, path] = tally.get((host, path), 0.0) + weight
-            keys = list(tally)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(tally.values()), pa.float64())], ["host", "path", "votes"])
+                host, votes = host_of(url), Page(source).votes()
+                shape = shape_of(host, votes)
+                for path, weight in votes.items():
+                    tally[host, path, shape] = tally.get((host, path, shape), 0) + weight
+            columns = list(zip(*tally)) or [(), (), ()]
+            types = (pa.string(), pa.string(), pa.binary())
+            yield pa.record_batch([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(list(tally.values()), pa.int64())], ["host", "path", "shape", "votes"])
 
     small_batches(pages.sparkSession)
-    votes = pages.select("url", "html").mapInArrow(vote, "host string, path string, votes double")
-    total = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("votes") * 1000).cast("long")).alias("votes"))
-    order = Window.partitionBy("host").orderBy(F.col("votes").desc(), "path")
-    top = total.withColumn("at", F.row_number().over(order)).where(F.col("at") <= paths_per_host)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]).alias("paths"))
+    votes = pages.select("url", "html").mapInArrow(vote, "host string, path string, shape binary, votes long")
+    named = votes.where("host is not null and path is not null and shape is not null")  # as joins would say on one side only
+    return named.groupBy("host", "path", "shape").agg(F.sum("votes").alias("votes"))
+
+
+def _best_first(votes: str, *columns: str):
+    return F.array_sort(F.collect_list(F.struct((-F.col(votes)).alias("v"), *columns)))
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """host, paths array<string>: the voted paths of each host, best first; to look at, as extracted() has no list per host."""
+    total = page_votes(pages).groupBy("host", "path").agg(F.sum("votes").alias("votes")).where("votes > 0")
+    return total.groupBy("host").agg(F.transform(_best_first("votes", "path"), lambda x: x["path"]).alias("paths"))
+
+
+def shape_paths(pages: DataFrame) -> DataFrame:
+    """shape, paths array<string>: of a shape's paths the one with most votes on the host."""
+    votes = page_votes(pages)
+    total = votes.groupBy("host", "path").agg(F.sum("votes").alias("total"))
+    # votes are kept so that both sides of the join read one exchange, and pages are parsed for it once
+    ranked = votes.join(total, ["host", "path"]).groupBy("shape").agg(_best_first("total", "path", "votes").alias("found"))
+    return ranked.select("shape", F.array(F.col("found")[0]["path"]).alias("paths"))
 
 
-def extracted(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
+def extracted(pages: DataFrame) -> DataFrame:
     """pages' columns without html, then text, for every row of pages(url, html).
 
     Null or empty html gives an empty text; a null or broken url is the host ''. A repeated page votes each time and is extracted each time.
     Character references are decoded; white space in a block becomes one space; blocks are joined in page order by line feeds. Nothing else of the
     article is dropped or cut. A column of pages named text is replaced.
     """
-    winners = host_paths(pages, paths_per_host)
+    winners = shape_paths(pages)
     keep = [c for c in pages.columns if c not in ("html", "text")]
     plain = pages.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)), F.col("url").alias("_url"), F.col("html").alias("_html"))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
 
-    def with_host(batches):
+    def with_shape(batches):
         for batch in batches:
-            hosts = [host_of(u) for u in batch.column(batch.num_columns - 2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.string())], [*batch.schema.names, "host"])
+            urls, sources = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            shapes = [shape_of(host_of(u), Page(s).votes()) for u, s in zip(urls, sources)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.binary())], [*batch.schema.names, "shape"])
 
-    hosted = plain.mapInArrow(with_host, schema + ", host string")
-    joined = hosted.join(winners, "host", "left")
+    shaped = plain.mapInArrow(with_shape, schema + ", shape binary")
+    joined = shaped.join(winners, "shape", "left")
     names = [f"_c{i}" for i in range(len(keep))]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in names) + ", text string"
 

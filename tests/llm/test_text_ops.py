@@ -261,6 +261,18 @@ def test_host_path_overrides_a_page_with_a_larger_odd_container(spark):
     assert texts[9] == "short story"
 
 
+def _texts(spark, pages):
+    return {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_rare_templates_of_a_large_host_have_their_consensus(spark):
+    page = "<body><div class=main-{0}><p>{1}</p></div><div class=extra-{0}><p>{2}</p></div></body>"
+    names = "abcdefghijklmnopqrst"
+    pages = [(k * 10 + i, "http://h.org", page.format(x, "story " * 50, "x")) for k, x in enumerate(names) for i in range(5 if x == "t" else 7)]
+    pages.append((999, "http://h.org", page.format("t", "short story", "trailer " * 60)))
+    assert _texts(spark, pages)[999] == "short story"
+
+
 # --- 6: rules
 
 
