@@ -1,11 +1,13 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page's containers are scored by the text they hold themselves (directly, or in blocks that are not containers), less what stands in
-   links and in parts of a page that are never article text by element or by class.
+   links and in parts of a page that are never article text by element or by class. An article element, or a main element around no article,
+   has the text of all containers in it.
 2. The best container's path, its generalised tag-class steps from the root (digits dropped, so ``post-12`` and
    ``post-97`` are one), is the page's vote. Votes are summed per host in Spark; a page also votes, at a discount, for
    every other container in reach of its best, so that hosts settle on paths that work for most pages.
-3. Every page is extracted again below that of its own paths that has most votes on its host.
+3. Every page is extracted again below that of its own paths that has most votes on its host, below those beside it that have COMPANION of
+   these votes, and from what the containers around them hold themselves.
 
 Pages are streamed; votes are rows of host, path and shape (the digest of a page's host and paths), added up before they are shuffled.
 """
@@ -22,6 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import release, small_batches
 
+#: Votes of a path beside the winning one, as a part of the winner's, from which it belongs to the article too.
+COMPANION = 0.25
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
 #: Elements that are never part of an article.
@@ -48,20 +53,24 @@ DIGITS = re.compile(r"\d+")
 
 
 class Container:
-    """A node that may hold the article: its path, its parent container, and how much of its own text is outside and inside links."""
+    """A node that may hold the article: its path, its parent container, how much of its own text is outside and inside links, and its root.
+
+    The root is the article (or else main) element whose text the container's is, or the container itself; credit is a root's score.
+    """
 
-    __slots__ = ("path", "parent", "text", "linked", "index")
+    __slots__ = ("path", "tag", "parent", "text", "linked", "index", "root", "credit")
 
-    def __init__(self, path: str, parent: int, index: int):
-        self.path, self.parent, self.index = path, parent, index
+    def __init__(self, path: str, tag: str, parent: Container | None, index: int):
+        self.path, self.tag, self.parent, self.index = path, tag, parent, index
         self.text = self.linked = 0
+        above = parent.root if parent else self
+        self.root = above if above.tag == "article" or (above.tag == "main" and tag != "article") else self
+        self.credit = 0.0
 
     @property
-    def score(self) -> float:
-        """Text of its own, if most of it isn't links; an article or main element counts more than a div with as much text."""
-        own = max(0, self.text - 2 * self.linked)
-        last = self.path.rsplit("/", 1)[-1].split(".")[0]
-        return own * {"article": 1.5, "main": 1.2, "body": 0.5}.get(last, 1.0)
+    def own(self) -> int:
+        """Text of its own, if most of it isn't links."""
+        return max(0, self.text - 2 * self.linked)
 
 
 class Page:
@@ -71,6 +80,10 @@ class Page:
         self.containers: list[Container] = []
         self.blocks: list[tuple[int, str]] = []
         self._parse(source or "")
+        for c in self.containers:
+            # an article or main element counts more than a div with as much text
+            c.root.credit += c.own * {"article": 1.5, "main": 1.2, "body": 0.5}.get(c.root.tag, 1.0)
+        self.roots = [c for c in self.containers if c.credit > 0]
 
     def _flush(self, parts: list[str], container: int) -> None:
         if parts:
@@ -162,40 +175,45 @@ class Page:
                 classes = ".".join(sorted(DIGITS.sub("", c) for c in marks.get("class", "").split()))
                 path = f"{path}/{name}.{classes}" if classes else f"{path}/{name}"
             if name in CONTAINER and not foreign:
-                self.containers.append(Container(path, container, len(self.containers)))
+                self.containers.append(Container(path, name, self.containers[container] if container >= 0 else None, len(self.containers)))
                 container = len(self.containers) - 1
             stack.append((name, container, foreign, path))
         self._flush(parts, stack[-1][1] if stack else -1)
 
     def best(self) -> Container | None:
-        """The container of the highest score, the first of equals."""
-        return max(self.containers, key=lambda c: (c.score, -c.index), default=None)
+        """The root of most credit, the first of equals."""
+        return max(self.roots, key=lambda c: (c.credit, -c.index), default=None)
 
     def votes(self) -> dict[str, int]:
-        """Every path with text, with its votes in thousandths, 0 for those far from the best."""
+        """Every path of a root with its votes in thousandths, 0 for those far from the best."""
         best = self.best()
         out: dict[str, int] = {}
-        for c in self.containers:
-            if c.score > 0:
-                share = c.score / best.score
-                out[c.path] = max(out.get(c.path, 0), 1000 if c is best else round(500 * share) if share >= 0.5 else 0)
+        for c in self.roots:
+            share = c.credit / best.credit
+            out[c.path] = max(out.get(c.path, 0), 1000 if c is best else round(500 * share) if share >= 0.5 else 0)
         return out
 
     def text(self, paths: list[str]) -> str:
-        """All blocks below containers of the first path that the page has with text; else below its own best, else all blocks."""
-        roots: set[int] = set()
-        for path in paths:
-            roots = {c.index for c in self.containers if c.path == path and c.score > 0}
-            if roots:
-                break
-        if not roots:
+        """All blocks below roots of the first path and below roots of the others beside them, and those that containers around them but the body
+        hold themselves; below the page's own best without paths, all blocks if it has none."""
+        chosen = [c for c in self.roots if paths and c.path == paths[0]]
+        if not chosen:
             best = self.best()
-            if best is None or not best.score:
+            if best is None:
                 return "\n".join(t for _, t in self.blocks)
-            roots = {best.index}
+            chosen = [best]
+        beside = {c.parent for c in chosen}
+        chosen += [c for c in self.roots if c.path in paths[1:] and c.parent in beside]
         inside = [False] * len(self.containers)
+        for c in chosen:
+            inside[c.index] = True
         for c in self.containers:
-            inside[c.index] = c.index in roots or (c.parent >= 0 and inside[c.parent])
+            inside[c.index] = inside[c.index] or (c.parent is not None and inside[c.parent.index])
+        for c in chosen:
+            above = c.parent
+            while above is not None:
+                inside[above.index] = inside[above.index] or (above.tag != "body" and above.own > 0)
+                above = above.parent
         return "\n".join(t for k, t in self.blocks if k >= 0 and inside[k])
 
 
@@ -242,13 +260,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return total.groupBy("host").agg(F.transform(_best_first("votes", "path"), lambda x: x["path"]).alias("paths"))
 
 
-def shape_paths(pages: DataFrame) -> DataFrame:
-    """shape, paths array<string>: of a shape's paths the one with most votes on the host."""
+def shape_paths(pages: DataFrame, companion: float = COMPANION) -> DataFrame:
+    """shape, paths array<string>: of a shape's paths the one with most votes on the host, then those with companion of its votes."""
     votes = page_votes(pages)
     total = votes.groupBy("host", "path").agg(F.sum("votes").alias("total"))
     # votes are kept so that both sides of the join read one exchange, and pages are parsed for it once
     ranked = votes.join(total, ["host", "path"]).groupBy("shape").agg(_best_first("total", "path", "votes").alias("found"))
-    return ranked.select("shape", F.array(F.col("found")[0]["path"]).alias("paths"))
+    enough = F.filter("found", lambda x: x["v"] <= F.col("found")[0]["v"] * companion)
+    return ranked.select("shape", F.transform(enough, lambda x: x["path"]).alias("paths"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

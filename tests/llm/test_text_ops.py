@@ -265,6 +265,18 @@ def _texts(spark, pages):
     return {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
 
 
+def test_articles_of_several_containers_are_whole(spark):
+    pages = [
+        (1, "http://a.org", "<body><article><h1>Title</h1><div class=body><p>{}</p></div></article></body>".format("story " * 50)),
+        (2, "http://b.org", "<body><article><section class=intro><p>{}</p></section><section class=main><p>{}</p></section></article></body>".format("intro " * 20, "story " * 50)),
+        (3, "http://c.org", "<body><div class=post><h1>Title</h1><div class=text><p>{}</p></div></div><div class=extra><p>x y</p></div></body>".format("story " * 50)),
+        (4, "http://d.org", "<body><div class=post><div class=lead><p>{}</p></div><div class=text><p>{}</p></div></div><div class=extra>x y</div></body>".format("intro " * 40, "story " * 50)),
+        (5, "http://e.org", "<body><main><h1>Title</h1><article><p>{}</p><div class=comments>no</div></article></main></body>".format("story " * 50)),
+    ]
+    intro, story = ("intro " * 20).strip(), ("story " * 50).strip()
+    assert _texts(spark, pages) == {1: f"Title\n{story}", 2: f"{intro}\n{story}", 3: f"Title\n{story}", 4: f"{intro} {intro}\n{story}", 5: f"Title\n{story}"}
+
+
 def test_rare_templates_of_a_large_host_have_their_consensus(spark):
     page = "<body><div class=main-{0}><p>{1}</p></div><div class=extra-{0}><p>{2}</p></div></body>"
     names = "abcdefghijklmnopqrst"
