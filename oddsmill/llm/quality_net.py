@@ -1,7 +1,7 @@
 """Quality classifier: a convolution over bytes, in numpy.
 
 Each byte has fixed features (its class, and random coordinates); learned filters look at WIDTH consecutive bytes
-every STRIDE bytes, over chunks that overlap by WIDTH - 1 bytes and together cover the whole text. Each filter's response is max-pooled
+from every byte on, over chunks that overlap by WIDTH - 1 bytes and together cover the whole text. Each filter's response is max-pooled
 within a chunk, and the chunks are combined by the mean over the text and the maximum over the text, which a logistic layer turns into
 one probability. As the mean weighs every chunk, a long clean text isn't condemned for one odd place, nor does a chunk of rubbish hide in it.
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import release, small_batches
 
-FILTERS, WIDTH, STRIDE, CHUNK, SEED = 16, 6, 2, 512, 10
+FILTERS, WIDTH, CHUNK, SEED = 16, 6, 512, 10
 FIT_ROWS, EPOCHS, BATCH, RATE = 1_500, 30, 50, 0.02
 #: Bytes of text convolved at a time.
 GROUP = 128 << 10
@@ -50,21 +50,20 @@ class Net:
         data = np.frombuffer(text, np.uint8)
         if len(data) < WIDTH:
             data = np.concatenate([data, np.full(WIDTH - len(data), 32, np.uint8)])
-        places = (len(data) - WIDTH) // STRIDE + 1
-        per = CHUNK // STRIDE
+        places = len(data) - WIDTH + 1
         tops, wheres = [], []
-        for base in range(0, places, GROUP // STRIDE):
-            n = min(GROUP // STRIDE, places - base)
-            piece = self.features[data[base * STRIDE : (base + n - 1) * STRIDE + WIDTH]].reshape(-1)
-            windows = np.lib.stride_tricks.as_strided(piece, (n, WIDTH * 12), (STRIDE * 12 * 4, 4))
+        for base in range(0, places, GROUP):
+            n = min(GROUP, places - base)
+            piece = self.features[data[base : base + n - 1 + WIDTH]].reshape(-1)
+            windows = np.lib.stride_tricks.as_strided(piece, (n, WIDTH * 12), (12 * 4, 4))
             value = np.ascontiguousarray(windows) @ self.filters + self.bias
-            pad = -n % per
+            pad = -n % CHUNK
             if pad:
                 value = np.concatenate([value, np.full((pad, FILTERS), -np.inf, np.float32)])
-            value = value.reshape(-1, per, FILTERS)
+            value = value.reshape(-1, CHUNK, FILTERS)
             where = value.argmax(axis=1)
             tops.append(np.take_along_axis(value, where[:, None, :], axis=1)[:, 0, :])
-            wheres.append((where + base + np.arange(len(value))[:, None] * per) * STRIDE)
+            wheres.append(where + base + np.arange(len(value))[:, None] * CHUNK)
         return np.concatenate(tops), np.concatenate(wheres), data
 
     def forward(self, text: bytes):

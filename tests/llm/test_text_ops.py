@@ -347,6 +347,16 @@ def test_quality(spark):
     assert quality_net.predictions(docs.limit(0), labels).count() == 0
 
 
+def test_filters_meet_every_byte():
+    net = quality_net.Net()
+    tops = lambda text: net.pooled(text)[0]
+    assert (tops(b"abcdefg") != tops(b"abcdef#")).any()
+    even, odd = (tops(b" " * k + b"Qx7#z!" + b" " * (40 - k)) for k in (10, 11))
+    assert np.allclose(even, odd)
+    long = b"".join(b"%d word, " % i for i in range(300))
+    assert np.allclose(tops(long)[1:], tops(long[512:]))
+
+
 def test_word_hashes_are_those_of_the_words():
     texts = [b"One two one", b"", b"TWO;three\xc3\xa9 one"]
     h, start, end, owner = T.words(texts)
