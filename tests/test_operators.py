@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from oddsmill.functions.similarity import token_set_ratio_of
 from oddsmill.operators import backtest as BT, books as B, calibration as C, divergence as D, matching as M, quality as Q, series as S, stats as X, tables as T, verify as V
 
 PRICES = "platform string, market_id string, ts bigint, price double"
@@ -122,6 +123,13 @@ def test_matching(spark):
     assert M.build_candidates(pm, k.where("market_id = 'k2'"), 60.0).count() == 0
 
 
+def test_prefilter_keeps_all_pairs_that_score(spark):
+    texts = ["abcdefghij abcdefghij", "abcdefghik", "abcdefghik abcdefghik zz", "zz", "other words here", "", " abcdefghij  zz "]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "pm_text string, k_text string")
+    got = {(r.pm_text, r.k_text, r.score) for r in M.scored_pairs(pairs).collect()}
+    assert got == {(a, b, s) for a in texts for b in texts if (s := token_set_ratio_of(a, b)) >= 85} and (texts[0], texts[1], 90.0) in got
+
+
 def test_best_of_both_is_per_second_venue_first(spark):
     rows = [("p1", "k1", 90.0), ("p2", "k1", 95.0), ("p1", "k2", 85.0), ("p2", "k2", 94.0)]
     d = dt.date(2026, 1, 1)
