@@ -199,15 +199,16 @@ def totals(asked: list[bytes], sides: int) -> tuple[list[np.ndarray], np.ndarray
     return arrays, every, sums
 
 
-def answer(asked: DataFrame, sides: int, n: int) -> DataFrame:
-    """Rows (p, q, answer): for every array asked about, the sums over all buckets, in its order."""
+def answer(asked: DataFrame, sides: int, n: int, wrapped: tuple[int, ...] = ()) -> DataFrame:
+    """Rows (p, q, answer): for every array asked about, the sums over all buckets, in its order; sides named in wrapped are modulo 2**32, others at most 2**32 - 1."""
+    fit = [(lambda s: s & 0xFFFFFFFF) if k in wrapped else (lambda s: np.minimum(s, 0xFFFFFFFF)) for k in range(sides)]
 
     def group(table: pa.Table) -> pa.Table:
         arrays, every, sums = totals(table.column("asked").to_pylist(), sides)
         out = []
         for h in arrays:
             at = np.searchsorted(every, h)
-            out.append(frame([pack_array(np.minimum(s[at], 0xFFFFFFFF).astype(np.uint32)) for s in sums]))
+            out.append(frame([pack_array(f(s[at]).astype(np.uint32)) for f, s in zip(fit, sums)]))
         release()
         return pa.table({"p": table.column("p"), "q": table.column("q"), "answer": pa.array(out, pa.binary())})
 

@@ -1,4 +1,4 @@
-"""Byte-level word tables and 64-bit polynomial hashes, vectorised over many texts at once."""
+"""Byte-level word tables and polynomial hashes, vectorised over many texts at once."""
 
 from __future__ import annotations
 
@@ -21,18 +21,44 @@ SPACED = _fold.copy()
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = {"base": np.ones(1, U64), "inverse": np.ones(1, U64)}
+#: Powers that a process keeps, and bytes hashed at a time; longer arrays of powers are made for one call.
+BLOCK = 1 << 20
+_KEPT = BLOCK + (1 << 12)
+#: A prime, and a base of polynomials modulo it. Modulo 2**64 alone, some long texts of regular make (Thue-Morse strings) agree for any base.
+PRIME = U64((1 << 31) - 1)
+_BASE31 = 1_299_709_871
+_INVERSE31 = pow(_BASE31, -1, int(PRIME))
+_tables: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers["base"]) < n:
-        size = max(n, 1 << 20)
-        for key, base in (("base", _BASE), ("inverse", _INVERSE)):
-            out = np.full(size, base, U64)
-            out[0] = 1
-            _powers[key] = np.multiply.accumulate(out)
-    return _powers["base"][:n], _powers["inverse"][:n]
+def _geometric(base: U64, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+def _geometric31(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, out * U64(pow(base, len(out), int(PRIME))) % PRIME])
+    return out[:n].astype(np.uint32)
+
+
+def _powers(name: str, make, base, n: int) -> np.ndarray:
+    if n > _KEPT:
+        return make(base, n)
+    if name not in _tables:
+        _tables[name] = make(base, _KEPT)
+    return _tables[name][:n]
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the base modulo 2**64."""
+    return _powers("base", _geometric, _BASE, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _powers("inverse", _geometric, _INVERSE, n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,16 +71,44 @@ def mix(h: np.ndarray) -> np.ndarray:
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """H with H[i] the hash of the first i values; H[j] - H[i], times a power of the inverse, identifies a slice."""
     out = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * powers(len(values))[0], out=out[1:])
+    np.cumsum((values.astype(U64) + U64(1)) * powers(len(values)), out=out[1:])
     return out
 
 
 def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the slice stands."""
-    inverse = powers(len(prefix))[1]
+    """Hash of values[start:end], the same wherever the slice stands. What it says to be equal has to be checked."""
+    inverse = inverse_powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
 
 
+def prefix_check(values: np.ndarray) -> np.ndarray:
+    """Like prefix_hash, modulo PRIME; sums are left unreduced, as they fit in 64 bits."""
+    terms = (values.astype(U64) + U64(1)) * _powers("base31", _geometric31, _BASE31, len(values))
+    if len(values) > 1 << 22:
+        terms %= PRIME
+    out = np.zeros(len(values) + 1, U64)
+    np.cumsum(terms, out=out[1:])
+    return out
+
+
+def slice_check(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """31 bits that tell slices apart independently of slice_hash."""
+    return (prefix[end] - prefix[start]) % PRIME * _powers("inverse31", _geometric31, _INVERSE31, len(prefix))[start] % PRIME
+
+
+def strong_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the slices from both polynomials, for slices that are not compared afterwards; ascending slices are hashed BLOCK by BLOCK."""
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
+        base = start[i]
+        own, a, b = values[base : end[j - 1]], start[i:j] - base, end[i:j] - base
+        out[i:j] = mix(slice_hash(prefix_hash(own), a, b) ^ slice_check(prefix_check(own), a, b) * _M1)
+        i = j
+    return out
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One byte array of all texts with a space after each, and the offset at which each begins."""
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
@@ -73,7 +127,7 @@ def words(texts: list[bytes], spaced: bool = False) -> tuple[np.ndarray, np.ndar
     step = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, offsets)))
-    return slice_hash(prefix_hash(values), start, end), start, end, owner
+    return strong_hash(values, start, end), start, end, owner
 
 
 def portions(sizes, limit: int):

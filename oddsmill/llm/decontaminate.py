@@ -26,7 +26,7 @@ WINDOW = 10
 #: Words of benchmark text that are searched for at a time.
 BLOCK_WORDS = 2_000_000
 #: Bytes of documents behind one FM-index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

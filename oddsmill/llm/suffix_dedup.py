@@ -7,13 +7,15 @@ corpus is not needed to know that:
 2. Every window of ``length`` bytes has an anchor, the leftmost of its ``GRAM``-byte strings with the least hash, which depends on
    the window alone; equal windows have equal anchors at equal offsets. Windows with one anchor are neighbours, a run. Each bucket
    asks how often its anchors' strings, and its whole runs, occur. A run whose anchor's string is unique holds no repeat; a run that
-   occurs twice as a whole (same bytes, same offset) is a repeat as a whole. Both settle nearly all text, at 16 bytes per 170.
+   occurs twice as a whole (same bytes, same offset) is a repeat as a whole, if the sum of the checks (by an independent hash) of all runs
+   counted with it is that many times its own; else it's left to 3. Both settle nearly all text, at 20 bytes per 170.
 3. What is left are runs at the edges of repeats, and one of each kind of whole repeat whose anchor also has other
    runs, as their windows may have equals at an edge. The windows of these are sorted as suffixes, first in each bucket, where repeats are
    noted and one window of each kind goes on, then over all buckets by anchor (a frequent anchor's windows part by a second
    anchor; what one task gets of equal windows is one from each bucket at most). The suffix sort is a merge sort; two
    suffixes are compared by binary search for their common extension over prefix polynomial hashes. Neighbours in this
-   order with a common extension of ``length`` are compared byte by byte before they count.
+   order with a common extension of ``length`` are compared byte by byte before they count, the order of the others is verified by an
+   independent hash; if either fails, the windows are told apart without polynomials.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from ._store import fresh, release
 
 LENGTH, GRAM = 400, 64
 #: Windows of one text looked at together; their number must stay under 2**POSITION_BITS.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 POSITION_BITS = np.uint64(24)
 _LOW = (np.uint64(1) << POSITION_BITS) - np.uint64(1)
 #: Windows of an anchor that occurs more often are told apart by a second one before they meet in a task.
 HOT = 1_000
 _OTHER = np.uint64(0xA5B35705C36D2E19)
+#: Bytes of text whose suffixes are sorted together; the windows of one anchor stay together, however many.
+SORTED_BYTES = 1 << 20
 
 
 def sliding_minimum(a: np.ndarray, width: int) -> np.ndarray:
@@ -47,7 +51,7 @@ def sliding_minimum(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """first and last window start, anchor position, hash of the anchor's string, hash of the run, of all runs of a text."""
+    """first and last window start, anchor position, hash of the anchor's string, hash and check of the run, of all runs of a text."""
     data = np.frombuffer(text, np.uint8)
     parts = []
     for base in range(0, len(data) - length + 1, SEGMENT):
@@ -61,8 +65,9 @@ def runs(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
         last = np.append(first[1:] - 1, len(anchor) - 1)
         at = anchor[first]
         whole = T.mix(T.slice_hash(prefix, first, last + length) ^ T.mix((at - first).astype(np.uint64)))
-        parts.append((first + base, last + base, at + base, T.mix(grams[at]), whole))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64 if k < 3 else np.uint64) for k in range(5))
+        check = T.slice_check(T.prefix_check(piece), first, last + length)
+        parts.append((first + base, last + base, at + base, T.mix(grams[at]), whole, check))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64 if k < 3 else np.uint64) for k in range(6))
 
 
 def second_anchors(text: bytes, first: int, last: int, length: int, gram: int) -> np.ndarray:
@@ -75,7 +80,7 @@ def second_anchors(text: bytes, first: int, last: int, length: int, gram: int) -
 
 def common_extension(prefix: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
     """Length, up to limit, to which the suffixes at i and j agree, by binary search over the prefix hashes."""
-    inverse = T.powers(len(prefix))[1]
+    inverse = T.inverse_powers(len(prefix))
     hi, hj, ii, ij = prefix[i], prefix[j], inverse[i], inverse[j]
     low, high = np.zeros(len(i), np.int64), np.full(len(i), limit, np.int64)
     while True:
@@ -87,15 +92,15 @@ def common_extension(prefix: np.ndarray, i: np.ndarray, j: np.ndarray, limit: in
         low, high = np.where(same, mid, low), np.where(same | ~open_, high, mid - 1)
 
 
-def suffix_sort(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in the order of the ``length`` bytes from them (ties by position), and whether each agrees in all of them with the one before.
+def sorted_suffixes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts in the order of the ``length`` bytes from them (ties by position), and in how many bytes, up to length, each agrees with the one before.
 
     Text from any start on must have ``length`` bytes. Suffixes are put in order by their first 16 bytes; each group
     of equals is then merge-sorted, all groups in step.
     """
     n = len(starts)
     if not n:
-        return starts, np.zeros(0, bool)
+        return starts, np.zeros(0, np.int64)
     prefix = T.prefix_hash(text)
     key = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
     depth = min(16, length)
@@ -136,35 +141,51 @@ def suffix_sort(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
         moved[target] = pos[live]
         pos = moved
         width *= 2
-    same = np.zeros(n, bool)
+    shared = np.zeros(n, np.int64)
     inner = np.flatnonzero(~head)
-    same[inner] = common_extension(prefix, pos[inner - 1], pos[inner], length) >= length
-    return pos, same
+    shared[inner] = common_extension(prefix, pos[inner - 1], pos[inner], length)
+    return pos, shared
 
 
-def repeated(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start (distinct, ascending): whether its window has an equal among the others, and whether it is the first of its kind."""
-    pos, same = suffix_sort(text, starts, length)
-    twin, lone = np.zeros(len(pos), bool), ~same
+def suffix_sort(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts in order, and whether each agrees in all ``length`` bytes with the one before, as the hashes say."""
+    pos, shared = sorted_suffixes(text, starts, length)
+    return pos, shared >= length
+
+
+def order_holds(text: np.ndarray, pos: np.ndarray, shared: np.ndarray, length: int) -> bool:
+    """Collision verification of a suffix sort: neighbours that are said to agree do, byte by byte; of the others, what they share passes
+    an independent check and the next bytes are in order. Neighbours that share nothing were put in order by their bytes."""
+    at = np.flatnonzero(shared >= length)
     views = np.lib.stride_tricks.sliding_window_view(text, length) if len(text) >= length else None
-    at = np.flatnonzero(same)
     for k in range(0, len(at), 4096):
         i = at[k : k + 4096]
         if not (views[pos[i - 1]] == views[pos[i]]).all():
-            return _repeated_exactly(views, starts)
-    twin[at] = True
-    twin[at - 1] = True
+            return False
+    at = np.flatnonzero((shared > 0) & (shared < length))
+    a, b, n = pos[at - 1], pos[at], shared[at]
+    prefix = T.prefix_check(text)
+    return bool((text[a + n] < text[b + n]).all() and (T.slice_check(prefix, a, a + n) == T.slice_check(prefix, b, b + n)).all())
+
+
+def repeated(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start (distinct, ascending): whether its window has an equal among the others, and whether it is the first of its kind."""
+    pos, shared = sorted_suffixes(text, starts, length)
+    if not order_holds(text, pos, shared, length):
+        return _repeated_exactly(np.lib.stride_tricks.sliding_window_view(text, length), starts)
+    same = shared >= length
+    twin = same | np.append(same[1:], False)
     back = np.searchsorted(starts, pos)
     out, first = np.zeros(len(pos), bool), np.zeros(len(pos), bool)
-    out[back], first[back] = twin, lone
+    out[back], first[back] = twin, ~same
     return out, first
 
 
 def _repeated_exactly(views: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same from the bytes alone, for the case of a hash collision."""
+    """The same by a cryptographic digest of every window, for the case of a hash collision."""
     held: dict[bytes, list[int]] = {}
     for i, s in enumerate(starts):
-        held.setdefault(views[s].tobytes(), []).append(i)
+        held.setdefault(hashlib.blake2b(views[s].tobytes(), digest_size=32).digest(), []).append(i)
     out, first = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
     for own in held.values():
         first[own[0]] = True
@@ -183,6 +204,18 @@ def stretches(starts: np.ndarray, breaks: np.ndarray | None = None) -> list[tupl
     return list(zip(at, np.append(at[1:], len(starts))))
 
 
+def anchored_portions(anchors: np.ndarray, sizes: np.ndarray, limit: int):
+    """Slices of ascending anchors whose sizes add up to about limit; what has one anchor stays together."""
+    begin = total = 0
+    for i in range(len(anchors)):
+        if i > begin and total + sizes[i] > limit and anchors[i] != anchors[i - 1]:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += int(sizes[i])
+    if begin < len(anchors):
+        yield slice(begin, len(anchors))
+
+
 def _pack_table(**columns: np.ndarray) -> bytes:
     return X.frame([X.pack_array(np.asarray(v, np.int64)) for v in columns.values()])
 
@@ -201,42 +234,57 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     dealt = X.deal_texts(docs.select("doc_id", "text"), n)
 
     def bucket_runs(texts):
+        """Runs per text; of all their anchors' strings and then themselves, text by text, the hash and the check (0 for strings)."""
         found = [runs(t, length, gram) for t in texts]
-        return found, np.concatenate([np.concatenate([x[3], x[4]]) for x in found]) if found else np.zeros(0, np.uint64)
+        empty = np.zeros(0, np.uint64)
+        asked = np.concatenate([y for x in found for y in (x[3], x[4])]) if found else empty
+        checks = np.concatenate([y for x in found for y in (np.zeros_like(x[5]), x[5])]) if found else empty
+        return found, asked, checks
 
     def hashes(ids, texts):
-        every, count = np.unique(bucket_runs(texts)[1], return_counts=True)
-        return every, [count]
+        _, asked, checks = bucket_runs(texts)
+        every, at, count = np.unique(asked, return_inverse=True, return_counts=True)
+        return every, [count, np.bincount(at, checks.astype(np.float64), minlength=len(every)).astype(np.int64) & 0xFFFFFFFF]
 
-    answers = X.answer(X.ask(dealt, n, hashes), 1, n)
+    answers = X.answer(X.ask(dealt, n, hashes), 2, n, wrapped=(1,))
 
     def settle(p, ids, texts, sums):
-        found, asked = bucket_runs(texts)
-        total = sums[0][np.unique(asked, return_inverse=True)[1]] if len(asked) else np.zeros(0, np.int64)
+        found, asked, checks = bucket_runs(texts)
+        place = np.unique(asked, return_inverse=True)[1] if len(asked) else np.zeros(0, np.int64)
+        total, proof = sums[0][place].astype(np.int64), sums[1][place].astype(np.int64)
+        # all runs counted under one hash have one check, or else they aren't one kind
+        sound = (total * checks.astype(np.int64)) & 0xFFFFFFFF == proof
         covers: tuple[list, list, list] = ([], [], [])
-        buffers, starts, owner, origin, anchor, size, at = [], [], [], [], [], 0, 0
+        picked: list[tuple[int, int, int, bool]] = []
         sent: set[int] = set()
-        for i, (first, last, _, g, whole) in enumerate(found):
-            n_g, n_run = total[at : at + len(g)], total[at + len(g) : at + 2 * len(g)]
+        at = 0
+        for i, (first, last, _, g, whole, _) in enumerate(found):
+            n_g, n_run, one_kind = total[at : at + len(g)], total[at + len(g) : at + 2 * len(g)], sound[at + len(g) : at + 2 * len(g)]
             at += 2 * len(g)
-            for k in np.flatnonzero(n_run > 1):
+            twice = (n_run > 1) & one_kind
+            for k in np.flatnonzero(twice):
                 for column, value in zip(covers, (i, first[k], last[k] + length)):
                     column.append(int(value))
-            for k in np.flatnonzero((n_g > 1) & (n_g > n_run)):
-                if n_run[k] > 1:
+            for k in np.flatnonzero(~one_kind | ((n_g > 1) & (n_g > n_run))):
+                if twice[k]:
                     if int(whole[k]) in sent:
                         continue
                     sent.add(int(whole[k]))
-                own = np.arange(first[k], last[k] + 1)
-                buffers.append(texts[i][first[k] : last[k] + length])
-                starts.append(own - first[k] + size)
+                picked.append((int(g[k]), i, int(k), bool(n_g[k] > HOT)))
+        picked.sort()
+        edges: dict[int, list] = {}
+        for part in anchored_portions([x[0] for x in picked], [int(found[i][1][k] - found[i][0][k]) + length for _, i, k, _ in picked], SORTED_BYTES):
+            buffers, starts, owner, origin, anchor, size = [], [], [], [], [], 0
+            for g, i, k, hot in picked[part]:
+                first, last = int(found[i][0][k]), int(found[i][1][k])
+                own = np.arange(first, last + 1)
+                buffers.append(texts[i][first : last + length])
+                starts.append(own - first + size)
                 owner.append(np.full(len(own), i))
                 origin.append(own)
                 # a frequent anchor's windows part by a second anchor, so that those with text of their own around it spread over the slices
-                anchor.append(g[k] ^ second_anchors(texts[i], first[k], last[k], length, gram) if n_g[k] > HOT else np.full(len(own), g[k]))
-                size += last[k] - first[k] + length
-        edges: dict[int, list] = {}
-        if starts:
+                anchor.append(np.uint64(g) ^ second_anchors(texts[i], first, last, length, gram) if hot else np.full(len(own), g, np.uint64))
+                size += last - first + length
             starts, owner, origin, anchor = map(np.concatenate, (starts, owner, origin, anchor))
             text = np.frombuffer(b"".join(buffers), np.uint8)
             twin, kind = repeated(text, starts, length)
@@ -248,48 +296,50 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
             new_anchor = np.concatenate([[True], (np.diff(anchor[where]) != 0) | (np.diff(origin[where]) != 1) | (np.diff(owner[where]) != 0)]) if len(where) else None
             for a, b in stretches(starts[where], new_anchor):
                 x, y = where[a], where[b - 1]
-                q = int(anchor[x] % np.uint64(n))
-                edges.setdefault(q, []).append((int(owner[x]), int(origin[x]), int(starts[x]), int(starts[y]) + length))
+                data = text[starts[x] : starts[y] + length].tobytes()
+                edges.setdefault(int(anchor[x] % np.uint64(n)), []).append((int(owner[x]), int(origin[x]), len(data), int(anchor[x].view(np.int64)), data))
         qs, blobs, kinds = [p % n], [_covers(*covers)], [0]
         for q, own in edges.items():
             qs.append(q)
             kinds.append(1)
-            blobs.append(X.frame([_pack_table(owner=[e[0] for e in own], origin=[e[1] for e in own], size=[e[3] - e[2] for e in own]), X.pack(b"".join(text[e[2] : e[3]].tobytes() for e in own))]))
+            columns = {name: [e[k] for e in own] for k, name in enumerate(("owner", "origin", "size", "anchor"))}
+            blobs.append(X.frame([_pack_table(**columns), X.pack(b"".join(e[4] for e in own))]))
         return pa.table({"p": pa.array([p] * len(qs), pa.int32()), "q": pa.array(qs, pa.int32()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(blobs, pa.binary())})
 
-    edges = X.with_answers(dealt, answers, 1, settle, "p int, q int, kind int, data binary")
+    edges = X.with_answers(dealt, answers, 2, settle, "p int, q int, kind int, data binary")
 
     def sort_edges(table: pa.Table) -> pa.Table:
-        out_p, out = [], []
-        buffers, starts, bucket, owner, origin, size = [], [], [], [], [], 0
+        out_p, out, heads, texts = [], [], [], []
         for p, kind, data in zip(*(table.column(c).to_pylist() for c in ("p", "kind", "data"))):
             if not kind:
                 out_p.append(p)
                 out.append(data)
                 continue
             head, text = X.unframe(data)
-            own, org, sizes = (X.unpack_array(x, np.int64) for x in X.unframe(head))
-            counts = sizes - length + 1
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts.append(np.repeat(begin, counts) + step + size)
-            owner.append(np.repeat(own, counts))
-            origin.append(np.repeat(org, counts) + step)
-            bucket.append(np.full(len(step), p))
-            buffers.append(X.unpack(text))
-            size += int(sizes.sum())
-        if starts:
-            starts, bucket, owner, origin = map(np.concatenate, (starts, bucket, owner, origin))
-            twin = np.flatnonzero(repeated(np.frombuffer(b"".join(buffers), np.uint8), starts, length)[0])
-            found: dict[int, tuple[list, list, list]] = {}
-            for a, b in stretches(starts[twin]):
-                x, y = twin[a], twin[b - 1]
-                for column, value in zip(found.setdefault(int(bucket[x]), ([], [], [])), (owner[x], origin[x], origin[y] + length)):
-                    column.append(int(value))
-            for p, columns in found.items():
-                out_p.append(p)
-                out.append(_covers(*columns))
-        del buffers, starts, bucket, owner, origin
+            own, org, sizes, anchors = (X.unpack_array(x, np.int64) for x in X.unframe(head))
+            begin = np.cumsum(sizes) - sizes
+            heads.append(np.stack([anchors, np.full(len(own), p), own, org, sizes, begin, np.full(len(own), len(texts))]))
+            texts.append(X.unpack(text))
+        found: dict[int, tuple[list, list, list]] = {}
+        if heads:
+            every = np.concatenate(heads, axis=1)
+            every = every[:, np.argsort(every[0], kind="stable")]
+            for part in anchored_portions(every[0], every[4], SORTED_BYTES):
+                _, bucket, owner, origin, sizes, begin, held = every[:, part]
+                text = np.frombuffer(b"".join(texts[h][b : b + s] for h, b, s in zip(held, begin, sizes)), np.uint8)
+                counts = sizes - length + 1
+                line = np.repeat(np.arange(len(sizes)), counts)
+                step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                starts = np.repeat(np.cumsum(sizes) - sizes, counts) + step
+                twin = np.flatnonzero(repeated(text, starts, length)[0])
+                for a, b in stretches(starts[twin]):
+                    x, y = twin[a], twin[b - 1]
+                    for column, value in zip(found.setdefault(int(bucket[line[x]]), ([], [], [])), (owner[line[x]], origin[line[x]] + step[x], origin[line[y]] + step[y] + length)):
+                        column.append(int(value))
+        for p, columns in found.items():
+            out_p.append(p)
+            out.append(_covers(*columns))
+        del heads, texts
         release()
         return pa.table({"p": pa.array(out_p, pa.int32()), "covers": pa.array(out, pa.binary())})
 
