@@ -164,6 +164,54 @@ def test_long_pieces_and_decoding(spark):
         own.decode_lists([[10**6]])
 
 
+def plain_bpe(ranks, piece):
+    parts = [bytes([b]) for b in piece]
+    while True:
+        found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_contraction_of_any_vocabulary(tmp_path, seed):
+    """Ranks in no order, so that contractions make pairs of lower ranks than their own."""
+    import base64
+    import random
+
+    rng = random.Random(seed)
+    more = {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(120)}
+    tokens = [bytes([i]) for i in range(256)] + rng.sample(sorted(more), len(more))
+    path = tmp_path / "v.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    own = bpe.Codec(str(path), r"\w+|\W")
+    pieces = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 2, 3, 7, 30, 100, 300)] + [b"a" * 301, b"ab" * 200]
+    want = [plain_bpe(own.ranks, p) for p in pieces]
+    assert own.contract(pieces) == want and own.contract(pieces, bpe.ENCODE_LONG) == want
+
+
+def test_a_text_without_a_space():
+    import random
+
+    enc, own, rng = reference_tokenizer(), bpe.codec(*bpe.default_vocabulary()), random.Random(4)
+    for alphabet, n in (("etaoinshrdlu", 6_000), ("ab", 100_000), ("aé漢ß", 30_000)):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        joined, back, count = next(own.run([text]))
+        ids = enc.encode_ordinary(text)
+        assert [int(x) for x in joined.split(",")] == ids and count == len(ids) and back == text.encode()
+
+
+def test_decoded_bytes_come_from_the_ids(monkeypatch):
+    own = bpe.Codec(*bpe.default_vocabulary())
+    own.young["one"] = ",".join(map(str, reference_tokenizer().encode_ordinary("two")))
+    assert next(own.run(["one"]))[1] == b"two"
+    monkeypatch.setattr(bpe, "CHUNK", 7)
+    monkeypatch.setattr(bpe, "DECODED", 20)
+    texts = ["some words, and then some more of them " * 5, "", "x", "漢字 " * 9]
+    assert [b for _, b, _ in own.run(texts)] == [t.encode() for t in texts]
+
+
 # --- 4: language model
 
 
