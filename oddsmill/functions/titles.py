@@ -32,7 +32,8 @@ CITIES = {
     "DEN": "denver", "HOU": "houston", "SEA": "seattle", "SFO": "san francisco", "SF": "san francisco", "DAL": "dallas", "PHX": "phoenix",
     "DC": "washington",
 }
-# Patterns over normalised titles.
+# What a normalised title keeps no letter of, patterns over normalised titles, and the head of a ticker before its city.
+DROPPED = r"[^a-z0-9 .+-]+"
 HIGH = r"\b(highest|maximum|max|high temp)\b"
 LOW = r"\b(lowest|minimum|min|low temp)\b"
 HALVES = {"1st": r"\b(1st|first) half\b", "2nd": r"\b(2nd|second) half\b"}
@@ -48,7 +49,7 @@ def lookup(table: dict[str, str], key: Column, default: str | None = None) -> Co
 
 def normalize_title(text: Column) -> Column:
     """[M1] Lower case; letters, digits, ``.``, ``+`` and ``-`` stay; single spaces."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9 .+-]+", " ")
+    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), DROPPED, " ")
     return F.trim(F.regexp_replace(kept, " +", " "))
 
 

@@ -116,15 +116,12 @@ def feature_frame(prices: DataFrame, markets: DataFrame, now: int = 86_400, befo
 
 
 def design_columns(train: DataFrame, rows: DataFrame, columns: tuple[str, ...] = ("bucket", "platform")) -> tuple[DataFrame, list[str]]:
-    """[X5] rows with 0/1 columns for the categories of train but the alphabetically first; categories are few and read once."""
-    names = []
+    """[X5] rows with 0/1 columns for all categories of train but the alphabetically first. Each is a column of the model, so they are read once, by the driver."""
+    added = {}
     for c in columns:
-        known = sorted(r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().limit(1000).collect())
-        for value in known[1:]:
-            name = f"{c}_{value}"
-            rows = rows.withColumn(name, F.coalesce((F.col(c) == value).cast("double"), F.lit(0.0)))
-            names.append(name)
-    return rows, names
+        known = sorted(r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        added |= {f"{c}_{value}": F.coalesce((F.col(c) == value).cast("double"), F.lit(0.0)) for value in known[1:]}
+    return rows.withColumns(added) if added else rows, list(added)
 
 
 def logistic(train: DataFrame, test: DataFrame, columns: list[str], c: float = 1.0) -> DataFrame:

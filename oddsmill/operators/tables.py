@@ -64,6 +64,11 @@ def write_csv(rows: DataFrame, path: str, *order) -> None:
     (flat.orderBy(*order) if order else flat).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_lines(rows: DataFrame, path: str) -> None:
+    """[S14] Rows as JSON lines, nulls left out, in as many files as there are partitions."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_table(rows: DataFrame, path: str, partition: str | None = "platform") -> None:
     """[D1] A new version of a table; readers of the old path are not disturbed, as the path must be new or a scratch one."""
     out = rows.write.mode("overwrite")

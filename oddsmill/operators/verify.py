@@ -48,7 +48,9 @@ SPORT_WORDS = {
     "golf": ("golf", "pga", "tee", "the cut"),
     "football": ("nfl", "touchdown", "quarterback"),
 }
+# The pattern that names both teams, and the level from which words are near.
 TEAMS = r"(?i)^If (.+?) and (.+?) both score"
+NEAR = 85.0
 #: Letters with marks that have a plain form, and combining marks (built from the Unicode tables).
 _MARKED, _PLAIN = "", ""
 
@@ -83,7 +85,7 @@ def subject_ok(subtitle: Column, title: Column, outcomes: Column) -> Column:
     """[V3] The last telling word of the subtitle, and half of all, must be in the title or outcomes; true without telling words."""
     telling = F.filter(norm_tokens(subtitle), lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
     hay = F.array_distinct(F.concat(norm_tokens(title), norm_tokens(F.array_join(F.coalesce(outcomes, F.array().cast("array<string>")), " "))))
-    hits = near_words(telling, hay)
+    hits = near_words(telling, hay, NEAR)
     share = F.try_divide(F.size(F.filter(hits, lambda x: x)).cast("double"), F.size(hits))
     return (F.size(telling) == 0) | (F.coalesce(F.try_element_at(hits, F.lit(-1)), F.lit(False)) & F.coalesce(share >= 0.5, F.lit(False)))
 
@@ -95,7 +97,7 @@ def fixture_ok(title: Column, description: Column, rules: Column) -> Column:
     ok = F.lit(True)
     for group in (1, 2):
         words = F.filter(norm_tokens(F.regexp_extract(text, TEAMS, group)), lambda w: (F.length(w) >= 3) & ~w.isin(GENERIC_CLUB))
-        ok = ok & ((F.size(words) == 0) | F.exists(near_words(words, hay), lambda x: x))
+        ok = ok & ((F.size(words) == 0) | F.exists(near_words(words, hay, NEAR), lambda x: x))
     return ok
 
 

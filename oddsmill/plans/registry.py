@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import parse, titles
 from ..functions.prices import coverage_ratio, percent, wilson_interval
 from ..operators import backtest as BT, books as B, calibration as C, divergence as D, matching as M, quality as Q, series as S, stats as X, tables as T, verify as V
+from ..sources import archive as A
 from ..sources.archive import table
 from ..streaming import live
 from . import views as W
@@ -227,11 +228,24 @@ def spread_histogram(spark, d):
     return D.histogram(aligned(spark, d))
 
 
-@query()
+def _case_twin(rules: tuple[tuple[str, str, str], ...]) -> str:
+    """Rule by rule: the first pair that no rule before took."""
+    out = W.with_views("al", """, pt AS (SELECT pm_id, k_id, count(*) AS n_days, avg(abs(spread)) AS mean_abs, max(abs(spread)) AS max_abs, any_value(basis_risk) AS basis_risk
+    FROM sp JOIN (SELECT pm_id, k_id, basis_risk FROM pa) USING (pm_id, k_id) GROUP BY 1, 2 HAVING count(*) >= 2)""").rstrip()
+    for i, (name, predicate, column) in enumerate(rules):
+        before = "".join(f" AND (pm_id, k_id) NOT IN (SELECT (pm_id, k_id) FROM c{j})" for j in range(i))
+        out += f",\n c{i} AS (SELECT '{name}' AS case_name, pm_id, k_id FROM pt WHERE {predicate}{before} ORDER BY {column} DESC, pm_id, k_id LIMIT 1)"
+    return out + "\n" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(rules)))
+
+
+_CASES = D.case_rules(least_days=5, long_days=12)
+
+
+@query(_case_twin(_CASES))
 def case_studies(spark, d):
-    """T5; tests hold it against a loop."""
+    """T5."""
     per = D.pair_table(aligned(spark, d)).join(W.pairs(spark, d).select("pm_id", "k_id", "basis_risk"), ["pm_id", "k_id"])
-    return D.case_studies(per, D.case_rules(least_days=5, long_days=12))
+    return D.case_studies(per, _CASES)
 
 
 # --- backtest -------------------------------------------------------------------------------------------------------
@@ -461,13 +475,16 @@ def title_markets(spark, d):
         title.alias("title"),
         F.when(venue == "pm", F.when(k % 4 == 0, "Soccer").otherwise("Crypto")).otherwise(F.when(k % 4 == 1, "Sports").otherwise("Crypto")).alias("category"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.floor(k / 2) % 120).cast("int")).alias("close_ts"),
-        F.lit("{}").alias("raw_json"),
+        # of the second venue's records some say more than the title, some what it says already
+        F.when((venue == "k") & (k % 3 == 0), F.to_json(F.struct(F.lit("Above: 3 Points").alias("yes_sub_title"))))
+        .when((venue == "k") & (k % 3 == 1), F.to_json(F.struct(F.upper("p_type").alias("yes_sub_title"))))
+        .otherwise("{}").alias("raw_json"),
         F.upper(F.split("p_name", " ")[1]).alias("series"),
     )
 
 
 TITLES = """tm AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS pm, CASE WHEN p_partkey % 2 = 1 THEN 'KX' || upper(split_part(p_name, ' ', 2)) || '-' ELSE '' END || p_partkey AS market_id,
-  trim(regexp_replace(regexp_replace(lower('Will ' || p_name || ' ' || p_type || ' be over ' || ((p_partkey % 7) / 2.0)::DOUBLE::VARCHAR || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'Highest' WHEN p_partkey % 9 = 0 THEN '1st Half!' ELSE '(2024)' END), '[^a-z0-9 .+-]+', ' ', 'g'), ' +', ' ', 'g')) AS text,
+  trim(regexp_replace(regexp_replace(lower('Will ' || p_name || ' ' || p_type || ' be over ' || ((p_partkey % 7) / 2.0)::DOUBLE::VARCHAR || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'Highest' WHEN p_partkey % 9 = 0 THEN '1st Half!' ELSE '(2024)' END || CASE WHEN p_partkey % 6 = 3 THEN ' Above: 3 Points' ELSE '' END), '[^a-z0-9 .+-]+', ' ', 'g'), ' +', ' ', 'g')) AS text,
   DATE '2024-01-01' + (p_partkey // 2 % 120)::INT AS close_date, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'sports' ELSE 'crypto' END AS bucket FROM part)"""
 
 
@@ -509,18 +526,91 @@ def candidates(spark, d):
     return M.build_candidates(*sides(spark, d), threshold=60.0)
 
 
-@query()
+# Common subsequences by rows of bits, one letter of the right string per round: a bit is 0 where the letters of the left string up to it gain one.
+LETTERS = """ls AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''), li AS (SELECT row_number() OVER (ORDER BY a, b) AS id, a, b FROM ls),
+  mk AS (SELECT a, c, sum(bit) AS bits FROM (SELECT a, a[i] AS c, (2::HUGEINT ** (i - 1))::HUGEINT AS bit FROM (SELECT a, unnest(range(1, length(a) + 1)) AS i FROM (SELECT DISTINCT a FROM ls))) GROUP BY 1, 2),
+  wk(id, i, bits) AS (
+    SELECT id, 0::BIGINT, (2::HUGEINT ** length(a))::HUGEINT - 1 FROM li
+    UNION ALL SELECT wk.id, wk.i + 1, CASE WHEN mk.bits IS NULL THEN wk.bits ELSE ((wk.bits + (wk.bits & mk.bits)) | (wk.bits - (wk.bits & mk.bits))) & ((2::HUGEINT ** length(li.a))::HUGEINT - 1) END
+    FROM wk JOIN li ON li.id = wk.id LEFT JOIN mk ON mk.a = li.a AND mk.c = li.b[wk.i + 1] WHERE wk.i < length(li.b)),
+  lc AS (SELECT a, b, length(a) - bit_count(bits) AS kept FROM wk JOIN li ON li.id = wk.id AND wk.i = length(li.b))"""
+
+_CANDIDATES = f"""WITH RECURSIVE {TITLES},
+  nm AS (SELECT *, list_sort(list_distinct(string_split(text, ' '))) AS ws, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE), lambda x: x <> 2024))) AS nums FROM tm),
+  bp AS (SELECT p.market_id AS pm_id, k.market_id AS k_id, p.nums = k.nums AND abs(date_diff('day', p.close_date, k.close_date)) <= CASE p.bucket WHEN 'sports' THEN 1 ELSE 3 END AS fits,
+      array_to_string(list_sort(list_intersect(p.ws, k.ws)), ' ') AS sh, array_to_string(list_filter(p.ws, lambda x: NOT list_contains(k.ws, x)), ' ') AS a, array_to_string(list_filter(k.ws, lambda x: NOT list_contains(p.ws, x)), ' ') AS b
+    FROM nm p JOIN nm k ON p.pm AND NOT k.pm AND p.bucket = k.bucket AND abs(date_diff('day', p.close_date, k.close_date)) <= 3),
+  {LETTERS.format(pairs="SELECT a, b FROM bp")},
+  sc AS (SELECT pm_id, k_id, fits, CASE WHEN sh <> '' AND (a = '' OR b = '') THEN 100.0 ELSE greatest(
+      200.0::DOUBLE * (CASE WHEN sh = '' THEN 0 ELSE length(sh) + 1 END + coalesce(kept, 0)) / (2 * CASE WHEN sh = '' THEN 0 ELSE length(sh) + 1 END + length(a) + length(b)),
+      200.0::DOUBLE * length(sh) / (2 * length(sh) + 1 + least(length(a), length(b)))) END AS score FROM bp LEFT JOIN lc USING (a, b)),
+  t8 AS (SELECT * FROM sc WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY k_id ORDER BY score DESC, pm_id) <= 8),
+  bk AS (SELECT * FROM t8 WHERE fits QUALIFY row_number() OVER (PARTITION BY k_id ORDER BY score DESC, pm_id) = 1),
+  cn AS (SELECT pm_id, k_id, score FROM bk QUALIFY row_number() OVER (PARTITION BY pm_id ORDER BY score DESC, k_id) = 1)"""
+
+
+@query(f"{_CANDIDATES} SELECT pm_id, k_id, {r('score')} FROM cn")
 def match_candidates(spark, d):
-    """M8, M9, W13, T3; the similarity has no SQL form, tests hold it against a plain loop."""
+    """M8, M9, W13, T3."""
     return candidates(spark, d)
 
 
-@query()
+@query(f"{_CANDIDATES} SELECT * FROM (SELECT split_part(k_id, '-', 1) AS series, count(*) AS n FROM cn GROUP BY 1) WHERE n >= 2 ORDER BY n DESC, series LIMIT 250")
 def productive_series(spark, d):
     """A27, T2, over the candidates."""
     return M.productive_series(candidates(spark, d))
 
 
+# titles that take each branch of the guards
+SAMPLES = (
+    "highest temperature in new york on may 3", "lowest temperature in chicago on may 3", "max and min temp in miami", "high temp in los angeles above 70", "will it rain in denver on may 3",
+    "lakers vs celtics", "lakers vs celtics winner", "will the lakers win", "first half points over 50.5", "2nd half points over 50.5", "1st half and second half points over 50.5", "coin toss heads", "coin toss heads in 2025",
+    "over 50.5 points", "lakers vs celtics 3", "fed cuts rates by 25 or 50",
+)
+SERIES = ("KXHIGHNY", "KXLOWTCHI", "KXHIGHTEMPMIA", "KXLOWCHI", "KXHIGHLAX", "KXRAINDEN", "KXDEN")
+
+
+def sample_pairs(spark, d):
+    n = len(SAMPLES)
+    pick = lambda values, i: F.get(F.array(*(F.lit(v) for v in values)), i.cast("int"))
+    p = F.col("p_partkey")
+    return table(spark, d, "part").select(p.cast("string").alias("pair"), pick(SAMPLES, p % n).alias("a"), pick(SAMPLES, F.floor(p / n) % n).alias("b"), pick(SERIES, p % len(SERIES)).alias("series"))
+
+
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_SIDE = "SELECT *, {}".format(
+    ", ".join(
+        f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({x}, '\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE), lambda x: NOT (x = floor(x) AND x BETWEEN 1900 AND 2100)))) AS n{x}, "
+        f"regexp_matches({x}, '\\b(highest|maximum|max|high temp)\\b') AS hi{x}, regexp_matches({x}, '\\b(lowest|minimum|min|low temp)\\b') AS lo{x}, "
+        f"CASE WHEN regexp_matches({x}, '\\b(1st|first) half\\b') THEN '1st' WHEN regexp_matches({x}, '\\b(2nd|second) half\\b') THEN '2nd' END AS hf{x}, list_contains(string_split({x}, ' '), 'toss') AS ts{x}, "
+        f"regexp_matches({x}, '^[a-z0-9 .]+ vs [a-z0-9 .]+$') AS vs{x}, regexp_matches({x}, '\\b(win|wins|winner|beat|beats|moneyline)\\b') AS wn{x}"
+        for x in ("a", "b")
+    )
+)
+
+
+@query(f"""WITH sm AS (SELECT p_partkey::VARCHAR AS pair, {_LIST(SAMPLES)}[p_partkey % 16 + 1] AS a, {_LIST(SAMPLES)}[p_partkey // 16 % 16 + 1] AS b, {_LIST(SERIES)}[p_partkey % 7 + 1] AS series FROM part),
+  sd AS ({_SIDE} FROM sm), ex AS (SELECT *, CASE WHEN hia AND NOT loa THEN 'max' WHEN loa AND NOT hia THEN 'min' END AS xa, CASE WHEN hib AND NOT lob THEN 'max' WHEN lob AND NOT hib THEN 'min' END AS xb FROM sd)
+  SELECT pair, xa AS extreme, hfa AS half, na = nb AND coalesce(xa = xb, true) AND coalesce(hfa = hfb, true) AND tsa = tsb AND NOT (vsa AND len(na) = 0 AND NOT wnb) AND NOT (vsb AND len(nb) = 0 AND NOT wna) AS compatible,
+    coalesce(contains(a, CASE series WHEN 'KXHIGHNY' THEN 'new york' WHEN 'KXHIGHTEMPMIA' THEN 'miami' WHEN 'KXLOWCHI' THEN 'chicago' WHEN 'KXHIGHLAX' THEN 'los angeles' WHEN 'KXDEN' THEN 'denver' END), false) AS city FROM ex""")
+def title_guards(spark, d):
+    """M4, M5, M6, M7: each branch."""
+    s = sample_pairs(spark, d)
+    return s.select(
+        "pair",
+        titles.extreme_class(F.col("a")).alias("extreme"),
+        titles.half_class(F.col("a")).alias("half"),
+        titles.compatible(F.col("a"), F.col("b")).alias("compatible"),
+        titles.weather_city_ok(F.col("a"), F.col("series")).alias("city"),
+    )
+
+
+@query(W.with_views("om", "SELECT platform, market_id FROM om WHERE close_ts >= TIMESTAMP '1995-01-01' AND close_ts < TIMESTAMP '1995-07-01'"))
+def closing_between(spark, d):
+    """F4."""
+    return M.closing_between(W.order_markets(spark, d), "1995-01-01", "1995-07-01").select("platform", "market_id")
+
+
 _PAIRED = "SELECT user_id::VARCHAR AS pm_id, user_id::VARCHAR AS k_id, user_id % 100 / 1.0::DOUBLE AS score FROM (SELECT DISTINCT user_id FROM events)"
 
 
@@ -545,6 +635,12 @@ def both_priced(spark, d):
     return M.with_both_priced(scored_users(spark, d), W.prices(spark, d).where("price > 0.9"))
 
 
+@query(W.with_views("pr", f", c AS ({_PAIRED}) SELECT pm_id, k_id FROM c WHERE score >= 85 OR ((pm_id IN (SELECT market_id FROM pr WHERE platform = 'pm' AND price > 0.9)) AND (k_id IN (SELECT market_id FROM pr WHERE platform = 'k' AND price > 0.9)))"))
+def for_review(spark, d):
+    """F6."""
+    return M.for_review(M.with_both_priced(scored_users(spark, d), W.prices(spark, d).where("price > 0.9"))).select("pm_id", "k_id")
+
+
 @query(W.with_views("em", f", c AS ({_PAIRED}) SELECT pm_id, k_id, score, a.category AS pm_title, a.anchor AS pm_close, b.category AS k_title, b.anchor AS k_close FROM c JOIN em a ON a.platform = 'pm' AND a.market_id = pm_id JOIN em b ON b.platform = 'k' AND b.market_id = k_id"))
 def enriched_candidates(spark, d):
     """J15."""
@@ -561,44 +657,88 @@ def applied_verdicts(spark, d):
     return V.apply_verdicts(matches, c.where(user % 4 == 1).select("pm_id", "k_id", code.alias("code")))
 
 
+REVIEWED = ("KXWCGOAL", "KXEPLBTTS", "KXRT", "KXUCL", "KXHIGHNY", "KXNBAFINMVP", "KXOTHER", "KXANIMEBEST")
+
+
 def review_pairs(spark, d):
-    """Documents against parts as pairs under review, series from the rule table and beyond."""
-    series = F.get(F.array(*(F.lit(s) for s in ("KXWCGOAL", "KXEPLBTTS", "KXRT", "KXUCL", "KXHIGHNY", "KXNBAFINMVP", "KXOTHER", "KXANIMEBEST"))), (F.col("p_partkey") % 8).cast("int"))
+    """Parts as pairs under review, series from the rule table and beyond; every rule holds for some and fails for others."""
+    k = F.col("p_partkey")
+    series = F.get(F.array(*(F.lit(s) for s in REVIEWED)), (k % 8).cast("int"))
     p = table(spark, d, "part")
-    name = F.split("p_name", " ")
+    name, kind = F.split("p_name", " "), F.lower("p_type")
     return p.select(
-        F.col("p_partkey").cast("string").alias("pm_id"),
-        F.concat(series, F.lit("-"), F.col("p_partkey").cast("string")).alias("k_id"),
+        k.cast("string").alias("pm_id"),
+        F.concat(series, F.lit("-"), k.cast("string")).alias("k_id"),
         series.alias("series"),
-        F.when(F.col("p_partkey") % 3 == 0, name[1]).otherwise(F.concat(name[0], F.lit("é"))).alias("k_sub"),
-        F.concat(F.lit("Award for "), F.col("p_name"), F.lit("?")).alias("k_title"),
-        F.concat(F.lit("If "), name[0], F.lit(" FC and "), name[1], F.lit(" United both score goals in the match")).alias("k_rules"),
-        F.concat(F.lit("Goal: "), F.col("p_name"), F.when(F.col("p_partkey") % 4 == 0, " Finals MVP").otherwise("")).alias("pm_title"),
-        F.when(F.col("p_partkey") % 10 == 0, "A cricket test series").otherwise("UEFA soccer").alias("pm_desc"),
-        F.when(F.col("p_partkey") % 6 == 0, F.array(name[0], name[1])).otherwise(F.array(F.lit("Yes"), F.lit("No"))).alias("pm_outcomes"),
+        F.when(k % 5 == 0, F.concat(F.lit("xq"), F.substring(name[0], 3, 20))).when(k % 3 == 0, name[1]).otherwise(F.concat(name[0], F.lit("é"))).alias("k_sub"),
+        F.concat(F.lit("Award for "), F.col("p_name"), F.when(k % 9 == 0, F.concat(F.lit(" "), kind)).otherwise(""), F.lit("?")).alias("k_title"),
+        F.concat(F.lit("If "), name[0], F.lit(" FC and "), F.when(k % 7 == 0, kind).otherwise(name[1]), F.lit(" United both score goals in the match")).alias("k_rules"),
+        F.concat(F.when(k % 13 == 0, "Player: ").otherwise("Goal: "), F.col("p_name"), F.when((k % 4 == 0) | (k % 3 == 1), " Finals MVP").otherwise("")).alias("pm_title"),
+        F.when(k % 10 == 0, "A cricket test series").when(k % 11 == 0, "An evening").otherwise("UEFA soccer").alias("pm_desc"),
+        F.when(k % 6 == 0, F.array(name[0], name[1])).otherwise(F.array(F.lit("Yes"), F.lit("No"))).alias("pm_outcomes"),
         F.lit(0).alias("pm_leg"),
     )
 
 
-@query()
+_TOKENS = lambda x: f"list_filter(string_split(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in V.STOP)}))"
+_SPORTS = lambda x: "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(strip_accents({x})), '{w}')" for w in words) + f" THEN '{sport}' END" for sport, words in V.SPORT_WORDS.items()) + "], lambda z: z IS NOT NULL)"
+REVIEW = f"""rp AS (SELECT p_partkey AS k, {_LIST(REVIEWED)}[p_partkey % 8 + 1] AS series, string_split(p_name, ' ') AS nm, lower(p_type) AS kd, p_name FROM part),
+  rv AS (SELECT k, k::VARCHAR AS pm_id, series || '-' || k AS k_id, series, nm, CASE WHEN k % 5 = 0 THEN 'xq' || substr(nm[1], 3, 20) WHEN k % 3 = 0 THEN nm[2] ELSE nm[1] || 'é' END AS k_sub,
+    'Award for ' || p_name || CASE WHEN k % 9 = 0 THEN ' ' || kd ELSE '' END || '?' AS k_title, 'If ' || nm[1] || ' FC and ' || CASE WHEN k % 7 = 0 THEN kd ELSE nm[2] END || ' United both score goals in the match' AS k_rules,
+    CASE WHEN k % 13 = 0 THEN 'Player: ' ELSE 'Goal: ' END || p_name || CASE WHEN k % 4 = 0 OR k % 3 = 1 THEN ' Finals MVP' ELSE '' END AS pm_title,
+    CASE WHEN k % 10 = 0 THEN 'A cricket test series' WHEN k % 11 = 0 THEN 'An evening' ELSE 'UEFA soccer' END AS pm_desc FROM rp),
+  rt AS (SELECT *, {_TOKENS('pm_title')} || CASE WHEN k % 6 = 0 THEN {_TOKENS("nm[1] || ' ' || nm[2]")} ELSE {_TOKENS("'Yes No'")} END AS subject_hay, {_TOKENS("pm_title || ' ' || pm_desc")} AS fixture_hay,
+    list_filter({_TOKENS('k_sub')}, lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\d+')) AS telling,
+    list_filter({_TOKENS('nm[1]')}, lambda w: length(w) >= 3) AS team_a, list_filter({_TOKENS("CASE WHEN k % 7 = 0 THEN string_split(k_rules, ' ')[5] ELSE nm[2] END")}, lambda w: length(w) >= 3) AS team_b FROM rv),
+  wp AS (SELECT DISTINCT w AS a, unnest(hay) AS b FROM (SELECT unnest(telling) AS w, subject_hay AS hay FROM rt UNION ALL SELECT unnest(team_a), fixture_hay FROM rt UNION ALL SELECT unnest(team_b), fixture_hay FROM rt)),
+  {LETTERS.format(pairs="SELECT a, b FROM wp")},
+  nr AS (SELECT a, b FROM lc WHERE 200.0::DOUBLE * kept / (length(a) + length(b)) >= 85),
+  nw AS (SELECT k, i, list_contains(list(coalesce(nr.a IS NOT NULL, false)), true) AS near FROM (SELECT k, i, telling[i] AS w, unnest(subject_hay) AS h FROM (SELECT *, unnest(range(1, len(telling) + 1)) AS i FROM rt)) LEFT JOIN nr ON nr.a = w AND nr.b = h GROUP BY 1, 2),
+  sb AS (SELECT k, arg_max(near, i) AND avg(near::INT) >= 0.5 AS subject FROM nw GROUP BY 1),
+  fx AS (SELECT k, bool_and(near) AS fixture FROM (SELECT k, team, bool_or(nr.a IS NOT NULL) AS near FROM
+    (SELECT k, team, w, unnest(fixture_hay) AS h FROM (SELECT k, 1 AS team, fixture_hay, unnest(team_a) AS w FROM rt UNION ALL SELECT k, 2, fixture_hay, unnest(team_b) FROM rt)) LEFT JOIN nr ON nr.a = w AND nr.b = h GROUP BY 1, 2) GROUP BY 1),
+  sp1 AS (SELECT *, {_SPORTS("pm_title || ' ' || pm_desc")} AS s1, {_SPORTS("k_title || ' ' || k_rules")} AS s2 FROM rt),
+  jd AS (SELECT sp1.*, coalesce(subject, true) AS subject, coalesce(fixture, true) AS fixture, len(s1) > 0 AND len(s2) > 0 AND len(list_intersect(s1, s2)) = 0 AS conflict,
+    CASE WHEN k % 6 <> 0 THEN 'na' WHEN list_contains({_TOKENS('k_sub')}, nm[1]) AND nm[1] <> nm[2] AND NOT list_contains({_TOKENS('k_sub')}, nm[2]) THEN 'same' WHEN list_contains({_TOKENS('k_sub')}, nm[2]) AND nm[1] <> nm[2] THEN 'inverse' ELSE 'unclear' END AS orient
+    FROM sp1 LEFT JOIN sb USING (k) LEFT JOIN fx USING (k)),
+  ck AS (SELECT *, (series <> 'KXNBAFINMVP' OR contains(lower(pm_title), 'finals mvp')) AND subject AND (series <> 'KXEPLBTTS' OR fixture) AND NOT conflict AS checked FROM jd),
+  cd AS (SELECT pm_id, k_id, series, orient, CASE WHEN series = 'KXWCGOAL' AND NOT contains(lower(pm_title), 'goal') THEN '0' WHEN series = 'KXUCL' THEN '0' WHEN series = 'KXRT' THEN CASE WHEN checked THEN 'br' ELSE '0' END WHEN series = 'KXOTHER' THEN ''
+      WHEN series = 'KXANIMEBEST' AND len(list_filter({_TOKENS("regexp_extract(lower(k_title), 'award for (.+?)\\??$', 1)")}, lambda w: NOT list_contains({_TOKENS('pm_title')}, w))) > 0 THEN '0'
+      WHEN NOT checked THEN '0' WHEN orient = 'inverse' THEN 'inv' WHEN orient = 'unclear' THEN '' ELSE '1' END AS code FROM ck)"""
+
+
+@query(f"WITH RECURSIVE {REVIEW} SELECT pm_id, k_id, code, CASE code WHEN 'inv' THEN 'inverse' WHEN '1' THEN CASE orient WHEN 'na' THEN 'same' ELSE orient END WHEN 'br' THEN CASE orient WHEN 'na' THEN 'same' ELSE orient END ELSE '' END AS oriented FROM cd")
 def verification_codes(spark, d):
-    """V1-V7, V9; edit ratios have no SQL form."""
+    """V1-V7, V9."""
     return V.decide(review_pairs(spark, d)).select("pm_id", "k_id", "code", "oriented")
 
 
-@query()
+@query(f"WITH RECURSIVE {REVIEW} SELECT series, code, count(*) AS n FROM cd GROUP BY 1, 2")
 def verification_counts(spark, d):
     """A28."""
     return V.verdict_counts(V.decide(review_pairs(spark, d)))
 
 
+@query(f"WITH RECURSIVE {REVIEW} SELECT pm_id, subject AS subject, fixture, conflict FROM jd")
+def verification_checks(spark, d):
+    """V1, V2, V3, V4, V5."""
+    c = F.col
+    return review_pairs(spark, d).select(
+        "pm_id",
+        V.subject_ok(c("k_sub"), c("pm_title"), c("pm_outcomes")).alias("subject"),
+        V.fixture_ok(c("pm_title"), c("pm_desc"), c("k_rules")).alias("fixture"),
+        V.sports_conflict(F.concat_ws(" ", "pm_title", "pm_desc"), F.concat_ws(" ", "k_title", "k_rules")).alias("conflict"),
+    )
+
+
 @query("""SELECT p_partkey::VARCHAR AS pm_id, p_partkey % 10 = 0 AS conflict FROM part""")
 def sports_conflicts(spark, d):
     """V5."""
-    return review_pairs(spark, d).select("pm_id", V.sports_conflict(F.concat_ws(" ", "pm_title", "pm_desc"), F.lit("goals in the Bundesliga")).alias("conflict"))
+    cricket = F.when(F.col("pm_id").cast("long") % 10 == 0, "A cricket test series").otherwise("UEFA soccer")
+    return review_pairs(spark, d).select("pm_id", V.sports_conflict(cricket, F.lit("goals in the Bundesliga")).alias("conflict"))
 
 
-@query("""SELECT p_partkey::VARCHAR AS pm_id, CASE WHEN p_partkey % 6 <> 0 THEN 'na' WHEN split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) THEN 'unclear' ELSE 'inverse' END AS orientation FROM part""")
+@query(f"WITH RECURSIVE {REVIEW} SELECT pm_id, orient AS orientation FROM jd")
 def leg_orientation(spark, d):
     """V6."""
     return review_pairs(spark, d).select("pm_id", V.orientation(F.col("pm_outcomes"), F.col("pm_leg"), F.col("k_sub")).alias("orientation"))
@@ -610,6 +750,41 @@ def review_sheet(spark, d):
     return V.review_sheet(review_pairs(spark, d)).select("pm_id", "orientation", "pm_leg_outcome")
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH RECURSIVE {REVIEW} SELECT pm_id, k_id, series, k_sub, k_title, k_rules, pm_title, pm_desc, CASE WHEN k % 6 = 0 THEN nm[1] ELSE 'Yes' END AS leg_outcome FROM rv")
+def review_lines(spark, d):
+    """Written as JSON lines and read again."""
+    path = scratch(spark, "review")
+    T.write_lines(review_pairs(spark, d), path)
+    return A.review_lines(spark, path).select("pm_id", "k_id", "series", "k_sub", "k_title", "k_rules", "pm_title", "pm_desc", F.get("pm_outcomes", F.col("pm_leg")).alias("leg_outcome"))
+
+
+@query(W.with_views("pr", f", c AS ({_PAIRED}) SELECT row_number() OVER (ORDER BY score DESC, pm_id) - 1 AS line, pm_id, k_id, score, (pm_id IN (SELECT market_id FROM pr WHERE platform = 'pm' AND price > 0.9)) AND (k_id IN (SELECT market_id FROM pr WHERE platform = 'k' AND price > 0.9)) AS both_priced, NULL::VARCHAR AS verified FROM c"))
+def candidates_csv(spark, d):
+    """A sorted report as one CSV file, read again with the numbers of its lines."""
+    path = scratch(spark, "candidates")
+    rows = M.with_both_priced(scored_users(spark, d), W.prices(spark, d).where("price > 0.9")).select("pm_id", "k_id", "score", "both_priced", F.lit(None).cast("string").alias("verified"))
+    T.write_csv(rows, path, F.col("score").desc(), "pm_id")
+    return A.candidates_csv(spark, path).withColumn("line", F.monotonically_increasing_id())
+
+
+@query(W.with_views("em", "SELECT count(*) AS rows, count_if(outcome IS NULL)::BIGINT AS unresolved, count_if(volume IS NULL)::BIGINT AS without_volume FROM em"))
+def observed_counts(spark, d):
+    """Counters of a write, taken while it runs."""
+    rows, seen = T.counted(W.event_markets(spark, d), "markets", unresolved=F.col("outcome").isNull(), without_volume=F.col("volume").isNull())
+    rows.write.format("noop").mode("overwrite").save()
+    found = seen.get
+    return spark.createDataFrame([tuple(int(found[k]) for k in ("rows", "unresolved", "without_volume"))], "rows long, unresolved long, without_volume long")
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------
 
 LOSS = "-(y * ln(greatest(1e-6, least(1 - 1e-6, {p}))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, {p}))))"
@@ -646,31 +821,31 @@ def errors(spark, d):
     return W.snapshots(spark, d).where("horizon = '24h'").withColumn("e", F.col("y") - F.col("p"))
 
 
-@query(W.with_views("hz", BOOT.format(keys="platform", source=_ERRORS, n=100)) + f" SELECT platform, n_clusters, n_obs, {r('mean', 'low', 'high')} FROM tt JOIN bd USING (platform)")
+@query(W.with_views("hz", BOOT.format(keys="platform", source=_ERRORS, n=800)) + f" SELECT platform, n_clusters, n_obs, {r('mean', 'low', 'high')} FROM tt JOIN bd USING (platform)")
 def cluster_bootstrap(spark, d):
     """X1."""
-    return X.cluster_bootstrap(errors(spark, d), "e", "cluster", "platform", n_boot=100)
+    return X.cluster_bootstrap(errors(spark, d), "e", "cluster", "platform")
 
 
-@query(W.with_views("hz", BOOT.format(keys="platform", source=_ERRORS, n=100)) + f""", nv AS (SELECT platform, 2 * 1.959963984540054 * stddev_samp(e) / sqrt(count(*)) AS width FROM ({_ERRORS}) GROUP BY 1)
+@query(W.with_views("hz", BOOT.format(keys="platform", source=_ERRORS, n=800)) + f""", nv AS (SELECT platform, 2 * 1.959963984540054 * stddev_samp(e) / sqrt(count(*)) AS width FROM ({_ERRORS}) GROUP BY 1)
   SELECT platform, n_clusters, n_obs, {r('mean', 'low', 'high', '(high - low) / width AS design_effect', 'n_obs / ((high - low) / width * ((high - low) / width)) AS effective_n')} FROM tt JOIN bd USING (platform) JOIN nv USING (platform)""")
 def design_effect(spark, d):
     """X2, X3."""
-    return X.design_effect(errors(spark, d), "e", "cluster", "platform", n_boot=100)
+    return X.design_effect(errors(spark, d), "e", "cluster", "platform")
 
 
 _SEGMENTED = "SELECT platform, CASE WHEN p < 0.1 THEN 'longshot' ELSE 'favourite' END AS segment, cluster, p, y AS e FROM sn WHERE horizon = '24h' AND (p < 0.1 OR p > 0.9)"
 _ENOUGH = f"SELECT * FROM ({_SEGMENTED}) QUALIFY count(*) OVER (PARTITION BY platform, segment) >= 8"
 
 
-@query(W.with_views("hz", BOOT.format(keys="platform, segment", source=_ENOUGH, n=100)) + f""",
+@query(W.with_views("hz", BOOT.format(keys="platform, segment", source=_ENOUGH, n=800)) + f""",
   nv AS (SELECT platform, segment, implied, {WILSON.replace('ci_low', 'wilson_low').replace('ci_high', 'wilson_high')} FROM (SELECT platform, segment, avg(p) AS implied, sum(e) AS hits, count(*) AS n FROM ({_SEGMENTED}) GROUP BY 1, 2)),
   vd AS (SELECT *, implied NOT BETWEEN wilson_low AND wilson_high AS naive_significant, implied NOT BETWEEN low AND high AS clustered_significant FROM tt JOIN bd USING (platform, segment) JOIN nv USING (platform, segment))
   SELECT platform, segment, n_clusters, n_obs, {r('mean', 'low', 'high', 'implied', 'wilson_low', 'wilson_high')}, naive_significant, clustered_significant,
     CASE WHEN naive_significant AND clustered_significant THEN 'significant both ways' WHEN naive_significant THEN 'lost under clustering' ELSE 'not significant either way' END AS verdict FROM vd""")
 def robustness_table(spark, d):
     """X4."""
-    return X.robustness(W.snapshots(spark, d).where("horizon = '24h'"), least=8, n_boot=100)
+    return X.robustness(W.snapshots(spark, d).where("horizon = '24h'"), least=8)
 
 
 @query("WITH c AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.7) AS cut FROM orders) SELECT epoch_us(o_orderdate) > cut AS is_test, count(*) AS n, min(o_orderkey) AS first_key FROM orders, c GROUP BY 1")
@@ -697,9 +872,37 @@ def feature_frame(spark, d):
     return features(spark, d)
 
 
+# Newton steps of the penalised fit, as a recursive table of (step, intercept, slope)
+_NEWTON = f"""WITH RECURSIVE ft AS ({_FEATURES}), cut AS (SELECT quantile_cont(anchor, 0.7) AS c FROM ft),
+  tr AS (SELECT logit_now AS x, y FROM ft, cut WHERE anchor <= c), te AS (SELECT logit_now AS x, p_now AS p, y FROM ft, cut WHERE anchor > c),
+  nt(i, b, w) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+    SELECT i + 1, b - (hxx * gb - hbx * gx) / (hbb * hxx - hbx * hbx), w - (hbb * gx - hbx * gb) / (hbb * hxx - hbx * hbx) FROM
+      (SELECT i, b, w, sum(q - y) AS gb, sum((q - y) * x) + w AS gx, sum(q * (1 - q)) AS hbb, sum(q * (1 - q) * x) AS hbx, sum(q * (1 - q) * x * x) + 1 AS hxx
+       FROM (SELECT i, b, w, x, y, 1 / (1 + exp(-(b + w * x))) AS q FROM nt, tr WHERE i < 40) GROUP BY i, b, w)),
+  md AS (SELECT 'price' AS model, p, y FROM te UNION ALL SELECT 'recalibrated', 1 / (1 + exp(-(b + w * x))), y FROM te, nt WHERE i = 40 UNION ALL SELECT 'base_rate', avg(y) OVER (), y FROM te)"""
+
+
+@query(f"{_NEWTON} SELECT model, count(*) AS n, round({'avg(' + LOSS.format(p='p') + ')'}, 4) + 0.0 AS log_loss, round(avg((p - y) * (p - y)), 4) + 0.0 AS brier FROM md GROUP BY 1")
+def recalibration(spark, d):
+    """The fit by its optimum."""
+    m = X.model_comparison(features(spark, d), least_train=10, least_test=5).where("model <> 'full'")
+    return m.select("model", "n", F.round("log_loss", 4).alias("log_loss"), F.round("brier", 4).alias("brier"))
+
+
+@query(f"WITH ft AS ({_FEATURES}), cut AS (SELECT quantile_cont(anchor, 0.7) AS c FROM ft), tr AS (SELECT ft.* FROM ft, cut WHERE anchor <= c) "
+       "SELECT name, market_id, platform, (CASE WHEN kind = 'bucket' THEN bucket ELSE platform END = value)::INT::DOUBLE AS value FROM ft, "
+       "(SELECT kind, value, kind || '_' || value AS name FROM (SELECT 'bucket' AS kind, bucket AS value FROM tr UNION SELECT 'platform', platform FROM tr) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY value) > 1)")
+def design_columns(spark, d):
+    """The 0/1 columns, one row each."""
+    split = S.temporal_split(features(spark, d).withColumn("_when", F.timestamp_seconds("anchor")), "_when", 0.3)
+    rows, names = X.design_columns(split.where("not is_test"), split)
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names))
+    return rows.select("platform", "market_id", F.explode(cells).alias("c")).select("c.name", "market_id", "platform", "c.value")
+
+
 @query()
 def model_comparison(spark, d):
-    """X5, X6, X7; an iterative fit has no SQL form."""
+    """X5, X6, X7; the fit over all columns has no SQL twin (recalibration has one)."""
     return X.model_comparison(features(spark, d), least_train=50, least_test=20)
 
 
@@ -726,10 +929,10 @@ def insert_ignored(spark, d):
     return T.insert_ignore(c.where("c_custkey % 2 = 0"), new, ["c_custkey"], required=("c_acctbal",))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def missing_keys(spark, d):
     """J12, J13."""
-    return T.missing(customers(spark, d).select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
+    return T.missing(customers(spark, d).select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
 
 
 @query("SELECT c_custkey FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 50")
@@ -756,7 +959,8 @@ def category_lookup(spark, d):
 # --- parsers: records are built from the tables as the venues would spell them -----------------------------------------
 
 
-def pm_raw(spark, d):
+def pm_records(spark, d):
+    """Orders as JSON records."""
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     stamp = F.col("o_orderdate").cast("timestamp")
@@ -775,12 +979,36 @@ def pm_raw(spark, d):
             F.array(F.struct((k % 50).cast("string").alias("id"))).alias("events"),
         )
     )
-    return o.select(F.from_json(rec, parse.PM_MARKET).alias("r")).select("r.*")
+    return o.select(k.alias("key"), rec.alias("record"))
+
+
+def pm_raw(spark, d):
+    return pm_records(spark, d).select(F.from_json("record", parse.PM_MARKET).alias("r")).select("r.*")
 
 
-@query(f"""SELECT o_orderkey::VARCHAR AS market_id, o_orderpriority AS category, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS open_ts, strftime(o_orderdate::DATE + 30, '%Y-%m-%dT00:00:00Z') AS close_ts,
+def archived(records: DataFrame, path: str, wrap: tuple[str, str]) -> None:
+    """Pages of records as archived responses, with an older response of the same page beside each."""
+    page = F.floor(F.col("key") / 400).cast("string")
+    pages = records.groupBy(page.alias("page")).agg(F.concat(F.lit(wrap[0]), F.array_join(F.collect_list("record"), ","), F.lit(wrap[1])).alias("body"))
+    both = pages.withColumn("at", F.explode(F.array(F.lit("2026-01-01"), F.lit("2026-06-01"))))
+    rows = both.select(F.lit("https://venue/markets").alias("url"), F.create_map(F.lit("offset"), "page").alias("params"), F.col("at").alias("fetched_at"), F.when(F.col("at") == "2026-01-01", wrap[0] + wrap[1]).otherwise(F.col("body")).alias("body"))
+    rows.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+_PARSED_PM = f"""SELECT o_orderkey::VARCHAR AS market_id, o_orderpriority AS category, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS open_ts, strftime(o_orderdate::DATE + 30, '%Y-%m-%dT00:00:00Z') AS close_ts,
   CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 2 OR (o_orderkey % 9 = 0 AND o_orderkey % 4 <> 0) THEN NULL WHEN (o_orderkey % 3 = 0) <> (o_orderkey % 4 = 0) THEN 'YES' ELSE 'NO' END AS outcome, {r('o_totalprice AS volume')},
-  CASE WHEN o_orderkey % 4 = 0 THEN 'n' || o_orderkey WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'y' || o_orderkey END AS token, (o_orderkey % 50)::VARCHAR AS cluster FROM orders""")
+  CASE WHEN o_orderkey % 4 = 0 THEN 'n' || o_orderkey WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'y' || o_orderkey END AS token, (o_orderkey % 50)::VARCHAR AS cluster FROM orders"""
+
+
+@query(_PARSED_PM.replace("SELECT o_orderkey::VARCHAR AS market_id,", "SELECT market_id, outcome, volume FROM (SELECT o_orderkey::VARCHAR AS market_id,") + ")")
+def archived_pm_markets(spark, d):
+    """Pages of an archive, the newest response of each."""
+    path = scratch(spark, "archive")
+    archived(pm_records(spark, d), path, ("[", "]"))
+    return parse.pm_markets(A.records(A.latest_responses(A.responses(spark, path)), parse.PM_MARKET)).select("market_id", "outcome", "volume")
+
+
+@query(_PARSED_PM)
 def parsed_pm_markets(spark, d):
     """P1-P8, P18."""
     m = parse.pm_markets(pm_raw(spark, d))
@@ -809,8 +1037,21 @@ def k_raw(spark, d):
     )
 
 
-@query(f"""SELECT 'KXS' || o_orderkey % 9 || '-' || o_orderkey AS market_id, 'KXS' || o_orderkey % 9 AS series, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS open_ts, NULL::VARCHAR AS close_ts, '2026-06-15T06:04:30Z' AS resolve_ts,
-  CASE o_orderkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' END AS outcome, {r('CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 7.0 END AS volume')}, 12.5::DOUBLE AS liquidity FROM orders WHERE o_orderkey % 10 <> 0""")
+_PARSED_K = f"""SELECT 'KXS' || o_orderkey % 9 || '-' || o_orderkey AS market_id, 'KXS' || o_orderkey % 9 AS series, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS open_ts, NULL::VARCHAR AS close_ts, '2026-06-15T06:04:30Z' AS resolve_ts,
+  CASE o_orderkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' END AS outcome, {r('CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 7.0 END AS volume')}, 12.5::DOUBLE AS liquidity FROM orders WHERE o_orderkey % 10 <> 0"""
+
+
+@query(f"SELECT market_id, series, outcome, volume FROM ({_PARSED_K})")
+def archived_k_markets(spark, d):
+    """Pages that hold their records under a name."""
+    path = scratch(spark, "archive")
+    raw = k_raw(spark, d)
+    key = F.substring_index("ticker", "-", -1).cast("long")
+    archived(raw.select(key.alias("key"), F.to_json(F.struct(*raw.columns)).alias("record")), path, ('{"cursor": "", "markets": [', "]}"))
+    return parse.k_markets(A.records(A.latest_responses(A.responses(spark, path)), parse.K_MARKET, "markets")).select("market_id", "series", "outcome", "volume")
+
+
+@query(_PARSED_K)
 def parsed_k_markets(spark, d):
     """P10, P11, P14."""
     return parse.k_markets(k_raw(spark, d)).select("market_id", "series", "open_ts", "close_ts", "resolve_ts", "outcome", "volume", "liquidity")
@@ -860,10 +1101,10 @@ def parsed_books(spark, d):
     return s.select("s_suppkey", B.best_price(bids).alias("best_bid"), B.best_price(asks).alias("best_ask"), F.size(bids).alias("bids"), F.size(asks).alias("asks"))
 
 
-@query("SELECT event_type, sha256('https://x/' || event_type || '?a=1&b=' || event_id) AS key, event_id FROM events WHERE event_id % 100 = 0")
+@query("SELECT event_type, sha256('https://x/' || event_type || '?a=1&b=' || event_id) AS key, event_id FROM events")
 def content_keys(spark, d):
     """S4."""
-    e = table(spark, d, "events").where("event_id % 100 = 0")
+    e = table(spark, d, "events")
     params = F.map_from_arrays(F.array(F.lit("b"), F.lit("a")), F.array(F.col("event_id").cast("string"), F.lit("1")))
     return e.select("event_type", parse.content_key(F.concat(F.lit("https://x/"), "event_type"), params).alias("key"), "event_id")
 
@@ -883,19 +1124,37 @@ def wilson_intervals(spark, d):
     return p.select("hits", "n", low.alias("ci_low"), high.alias("ci_high"))
 
 
-# --- streaming ------------------------------------------------------------------------------------------------------
+# --- streaming: books arrive as files ------------------------------------------------------------------------------------------------------
 
 
 @query(f"SELECT date_trunc('hour', ts)::TIMESTAMP AS start, CASE WHEN event_type IN ('view', 'click') THEN 'pm' ELSE 'k' END AS platform, count(*) AS n, {r('sum(value) AS total')} FROM events GROUP BY 1, 2")
 def streamed_windows(spark, d):
     """Hourly windows through Structured Streaming, drained in complete mode."""
-    import tempfile
-    import uuid
-
     schema = table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = raw.select(F.col("ts").cast("timestamp").alias("event_time"), F.when(F.col("event_type").isin("view", "click"), "pm").otherwise("k").alias("platform"), "value")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"windows_{uuid.uuid4().hex}"
-    out = live.drain(live.monitored(rows, value="value"), name, f"{root}/{name}", mode="complete")
+    out = live.drain(live.monitored(rows, value="value"), "table", scratch(spark, "windows"), mode="complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def arriving_books(spark, d) -> DataFrame:
+    """The books as a stream of JSON files."""
+    path = scratch(spark, "books")
+    W.books(spark, d).repartition(4).write.json(path)
+    return live.book_stream(spark, path)
+
+
+@query(_ORACLES["book_snapshots"])
+def captured_snapshots(spark, d):
+    """S10, S11, B14, D3 through Structured Streaming."""
+    return live.drain(live.captured(arriving_books(spark, d)), "captured", scratch(spark, "captured"))
+
+
+@query(_ORACLES["paper_signals"] + " WHERE touch_cost IS NOT NULL")
+def streamed_signals(spark, d):
+    """Pairs of books that arrive, traded on paper, and the signals that are left."""
+    ids = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("pm_id"))
+    pairs = ids.select("pm_id", F.col("pm_id").alias("k_id"), F.when(F.col("pm_id").cast("long") % 2 == 0, "crypto").otherwise("politics").alias("category"))
+    sink = scratch(spark, "signals")
+    live.trade_on_paper(arriving_books(spark, d), pairs, sink, scratch(spark, "sweeps"), once=True).awaitTermination()
+    return live.recorded_signals(spark, sink)

@@ -120,14 +120,15 @@ def daily_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def books(spark: SparkSession, d: str) -> DataFrame:
-    """One book per supplier and venue from line items of an order year: odd line numbers bid, even ones offer."""
+    """One book per supplier and venue from all line items, even order keys on ``pm``: odd line numbers bid, even ones offer. Each third supplier's book is thin."""
     li = table(spark, d, "lineitem").withColumn("disc", F.abs("l_discount"))
     step = F.round(F.col("disc") * 100).cast("int") * 3 + F.col("l_linenumber")
     bid = F.col("l_linenumber") % 2 == 1
     price = F.when(bid, (48 - step) / 100.0).otherwise((52 + step) / 100.0)
-    side = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct(F.when(bid, -price).otherwise(price).alias("o"), (F.col("l_quantity") * 20).alias("size")))))
-    g = li.where("l_orderkey % 40 = 0").groupBy(
-        F.when(F.col("l_orderkey") % 80 == 0, "pm").otherwise("k").alias("platform"), F.col("l_suppkey").cast("string").alias("market_id")
+    size = F.col("l_quantity") / F.when(F.col("l_suppkey") % 3 == 0, 8.0).otherwise(1.0)
+    side = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct(F.when(bid, -price).otherwise(price).alias("o"), size.alias("size")))))
+    g = li.groupBy(
+        F.when(F.col("l_orderkey") % 2 == 0, "pm").otherwise("k").alias("platform"), F.col("l_suppkey").cast("string").alias("market_id")
     ).agg(side(bid).alias("b"), side(~bid).alias("a"), (F.max("l_orderkey") * 0 + 1_700_000_000).alias("ts"))
     level = lambda sign: lambda x: F.struct((x["o"] * sign).alias("price"), x["size"].alias("size"))
     return g.select("platform", "market_id", "ts", F.transform("b", level(-1)).alias("bids"), F.transform("a", level(1)).alias("asks"))
@@ -174,9 +175,9 @@ CTE = {
         CASE WHEN orientation = 'inverse' THEN CASE WHEN pm_outcome = 'NO' THEN 'YES' ELSE 'NO' END ELSE pm_outcome END AS pm_outcome, k_outcome
       FROM pa JOIN da a ON a.platform = 'pm' AND a.market_id = pm_id JOIN dq b ON b.market_id = k_id AND b.day = a.day
       WHERE verified AND NOT basis_risk AND pm_outcome IS NOT NULL AND k_outcome IS NOT NULL AND a.day < resolve_day)""",
-    "lv": """lv AS (SELECT CASE WHEN l_orderkey % 80 = 0 THEN 'pm' ELSE 'k' END AS platform, l_suppkey::VARCHAR AS market_id, l_linenumber % 2 = 1 AS bid, l_quantity * 20 AS size,
+    "lv": """lv AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'pm' ELSE 'k' END AS platform, l_suppkey::VARCHAR AS market_id, l_linenumber % 2 = 1 AS bid, l_quantity / CASE WHEN l_suppkey % 3 = 0 THEN 8.0::DOUBLE ELSE 1.0 END AS size,
         CASE WHEN l_linenumber % 2 = 1 THEN (48 - (round(abs(l_discount) * 100)::INT * 3 + l_linenumber)) / 100.0::DOUBLE ELSE (52 + (round(abs(l_discount) * 100)::INT * 3 + l_linenumber)) / 100.0::DOUBLE END AS price
-      FROM lineitem WHERE l_orderkey % 40 = 0)""",
+      FROM lineitem)""",
     "bk": """bs AS (SELECT platform, market_id, 1700000000::BIGINT AS ts, max(price) FILTER (bid) AS best_bid, min(price) FILTER (NOT bid) AS best_ask,
         coalesce(sum(price * size) FILTER (bid), 0) AS bid_depth, coalesce(sum(price * size) FILTER (NOT bid), 0) AS ask_depth FROM lv GROUP BY 1, 2),
       ld AS (SELECT platform, market_id, 'ask' AS side, price, size FROM lv WHERE NOT bid UNION ALL SELECT platform, market_id, 'no' AS side, 1 - price, size FROM lv WHERE bid),

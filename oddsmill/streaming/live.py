@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import books as B, tables
@@ -60,10 +61,25 @@ def recorded_signals(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything there is now, through the stream, as a table in memory: for tests of batch and stream alike."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Everything there is now, through the stream, as a table beside the checkpoint; a batch that runs again replaces its own part.
+
+    In complete mode each batch holds the whole result, and the last one counts.
+    """
+    out = f"{checkpoint}-{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    try:
+        rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    except AnalysisException:  # nothing has arrived yet
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return rows.drop("batch")
 
 
 def per_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):

@@ -209,3 +209,11 @@ def test_settling(spark):
     m = spark.createDataFrame([(v, str(i), o[j]) for i, o in enumerate(outcomes) for j, v in enumerate(("pm", "k"))], "platform string, market_id string, outcome string")
     got = {r.pm_id: r.payout for r in B.settle(s, m).collect()}
     assert got == {"0": 1.0, "1": 2.0, "2": 0.0}
+
+
+def test_all_categories_get_a_column(spark):
+    from oddsmill.operators import stats
+
+    train = spark.range(1200).selectExpr("concat('c', lpad(id, 5, '0')) as bucket", "'pm' as platform")
+    rows, names = stats.design_columns(train, train.limit(3))
+    assert len(names) == 1199 and "bucket_c01199" in names and set(names) < set(rows.columns)

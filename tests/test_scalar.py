@@ -101,3 +101,14 @@ def test_pricing_a_pair(spark):
     assert got[0].direction == "pm_yes" and got[0].edge > 0.05 and got[1].direction == "k_yes" and got[2].cost is None
     at = [r[0] for r in df.select(B.price_pair(F.lit(0.04), 1e6)).collect()]
     assert all(x.cost is None for x in at)
+
+
+def test_common_subsequences_of_a_batch_as_one_by_one():
+    import random
+
+    rng = random.Random(2)
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    pairs = [(word(x, rng.choice([0, 1, 5, 63, 64, 65, 130, 200])), word(x, rng.choice([0, 3, 64, 70, 129]))) for x in ("ab", "abcdefgh ", "aé漢\0z", "xyzw") for _ in range(40)]
+    want = [similarity.common_subsequence(a, b) for a, b in pairs]
+    assert similarity.common_subsequences([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
+    assert similarity.common_subsequences([], []).tolist() == []
