@@ -1,11 +1,16 @@
-"""Tables written to the folder that all machines share, to cut lineage where a plan is used again."""
+"""Tables and arrays written to the folder that all machines share, to cut lineage where a plan is used again and to share models."""
 
 from __future__ import annotations
 
 import ctypes
+import mmap
+import os
+import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,3 +59,31 @@ def fresh(taken: list[str], *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def write_array(folder: str, name: str, a: np.ndarray) -> None:
+    """One file of the shared folder; a task that runs again replaces it by the same bytes."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    part = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(memoryview(np.ascontiguousarray(a)).cast("B") if len(a) else b"")
+    fs.move(part, f"{path}/{name}")
+
+
+def map_array(folder: str, name: str, dtype) -> np.ndarray:
+    """The array in the file, mapped into memory."""
+    fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
+    if not isinstance(fs, pafs.LocalFileSystem):
+        held, local = tempfile.mkstemp()
+        with fs.open_input_stream(path) as source, os.fdopen(held, "wb") as out:
+            while data := source.read(1 << 24):
+                out.write(data)
+        path = local
+    if not os.path.getsize(path):
+        return np.zeros(0, dtype)
+    with open(path, "rb") as file:
+        view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        os.unlink(path)
+    return np.frombuffer(view, dtype)

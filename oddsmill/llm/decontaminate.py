@@ -5,26 +5,28 @@ becomes a gap. Of each document the index holds the runs between gaps that are l
 window, so nothing that could match is left out. The windows are found by backward search through wavelet-tree
 ranks, their places by sampled suffix positions, and overlapping places merge to spans.
 
-The benchmark is handled in blocks of at most BLOCK_WORDS words, collected block by block (that bounds what the
-driver and each task hold); results of several blocks are merged per document. Documents only stream through.
+The benchmark's windows are built in Spark, in blocks of at most BLOCK_WORDS words (a longer item is several, overlapping by a window less
+a word), and written to the shared folder, from where each worker maps them into memory. A shard is searched for one block
+after another, so nothing is collected or broadcast, and documents only stream through.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
-from ._store import release, small_batches
+from ._store import map_array, release, shared_folder, small_batches, write_array
 from .fm_index import FMIndex
 
 WINDOW = 10
-#: Words of benchmark text that are searched for at a time.
-BLOCK_WORDS = 2_000_000
+#: Words of benchmark text that are searched for at a time: 8 bytes a word of vocabulary, 4 bytes a word of each window.
+BLOCK_WORDS = 200_000
 #: Bytes of documents behind one FM-index.
 SHARD_BYTES = 4 << 20
 
@@ -33,45 +35,65 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").encode().translate(_LOWER))
+class Windows:
+    """All windows of a block of items: the vocabulary by hash, the distinct windows as rows of word numbers, and the items of each.
 
+    The number of a word is 2 and its place in the sorted vocabulary. A shorter row is padded at the left with 0.
+    """
 
-class Windows:
-    """All windows of a block of items: the vocabulary by hash, the distinct windows as rows of word numbers, and their items."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
-        vocabulary = sorted({w for _, words in items for w in words})
-        hashes = T.words([b" ".join(vocabulary)])[0] if vocabulary else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], (np.arange(len(hashes)) + 2)[order]
-        number = {w: i + 2 for i, w in enumerate(vocabulary)}
-        held: dict[tuple, set] = {}
-        for item, words in items:
-            ids = [number[w] for w in words]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                held.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        rows = sorted(held)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.array([(0,) * (window - len(r)) + r for r in rows], np.int64).reshape(-1, window)
-        self.items = [sorted(held[r]) for r in rows]
-        self.least = int(self.lengths.min()) if rows else 0
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, items: np.ndarray):
+        self.hashes, self.rows, self.starts, self.items = hashes, rows, starts, items
+        self.lengths = (rows != 0).sum(axis=1)
+        self.least = int(self.lengths.min()) if len(rows) else 0
+
+    @classmethod
+    def of(cls, parts: list[tuple[int, np.ndarray]], window: int) -> Windows:
+        """From the word hashes of items, or of pieces of items."""
+        hashes, numbers = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in parts)]), return_inverse=True)
+        rows, own, at = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)], 0
+        for item, h in parts:
+            ids = (numbers[at : at + len(h)] + 2).astype(np.int32)
+            at += len(h)
+            if len(ids) >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            elif len(ids):
+                rows.append(np.concatenate([np.zeros(window - len(ids), np.int32), ids])[None])
+            else:
+                continue
+            own.append(np.full(len(rows[-1]), item, np.int64))
+        distinct, place = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([place.reshape(-1), np.concatenate(own)], axis=1), axis=0)
+        return cls(hashes, distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), np.ascontiguousarray(pairs[:, 1]))
+
+    def packed(self) -> np.ndarray:
+        head = np.array([len(self.hashes), len(self.rows), len(self.items), self.rows.shape[1]], np.int64)
+        parts = (head, self.hashes, self.starts.astype(np.int64), self.items.astype(np.int64), np.ascontiguousarray(self.rows, np.int32))
+        return np.concatenate([np.frombuffer(x.tobytes(), np.uint8) for x in parts])
+
+    @classmethod
+    def unpacked(cls, data: np.ndarray) -> Windows:
+        n_words, n_rows, n_items, window = data[:32].view(np.int64).tolist()
+        cuts = np.cumsum([32, 8 * n_words, 8 * (n_rows + 1), 8 * n_items, 4 * window * n_rows]).tolist()
+        hashes, starts, items, rows = (data[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+        return cls(hashes.view(np.uint64), rows.view(np.int32).reshape(n_rows, window), starts.view(np.int64), items.view(np.int64))
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers from 2; 0 for words outside the vocabulary."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], 0)
+        return np.where(self.hashes[at] == hashes, at + 2, 0)
+
+    def items_of(self, rows: np.ndarray) -> set[int]:
+        """The items that have any of these windows."""
+        return {i for r in np.unique(rows).tolist() for i in self.items[self.starts[r] : self.starts[r + 1]].tolist()}
 
 
-def shard_hits(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text, and of every place where a window occurs: text, first word, words, window."""
-    hashes, _, _, owner = T.words(texts)
-    counts = np.bincount(owner, minlength=len(texts))
+def shard_hits(hashes: np.ndarray, owner: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every place where a window occurs in words(hash, text): text, first word, words, window."""
     none = np.zeros(0, np.int64)
     if not len(hashes) or not windows.least:
-        return counts, none, none, none, none
+        return none, none, none, none
     numbers = windows.number(hashes)
     edge = np.concatenate([[True], (owner[1:] != owner[:-1]) | ((numbers[1:] != 0) != (numbers[:-1] != 0))])
     begin = np.flatnonzero(edge)
@@ -79,7 +101,7 @@ def shard_hits(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.nda
     use = (numbers[begin] != 0) & (size >= windows.least)
     begin, size = begin[use], size[use]
     if not len(begin):
-        return counts, none, none, none, none
+        return none, none, none, none
     # the runs one after another, a gap (symbol 1) after each
     into = np.cumsum(size + 1) - (size + 1)
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -103,9 +125,8 @@ def shard_hits(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.nda
     rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     word = word_at[index.locate(rows)]
     window = np.repeat(able, many)
-    first = np.searchsorted(owner, np.arange(len(texts)))
     text = owner[word]
-    return counts, text, word - first[text], windows.lengths[window], window
+    return text, word - np.searchsorted(owner, text), windows.lengths[window], window
 
 
 def _merge(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -118,72 +139,106 @@ def _merge(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_words: int):
-    """Windows of one block of items after another, read in the order of a hash of the item; no block holds over block_words words but for one longer item."""
-    block, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        words = item_words(row["text"])
-        if not words or row["item_id"] is None:
-            continue
-        if block and size + len(words) > block_words:
-            yield Windows(block, window)
-            block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
-    yield Windows(block, window)
+def window_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[str, list[str]]:
+    """Writes the windows of all items to the shared folder: the folder, and the names of the blocks.
+
+    Items are dealt to about as many groups as there will be blocks; a group's task cuts its words to blocks. Items without words or
+    item_id are skipped; repeated items and items with equal texts are as they are.
+    """
+    spark = benchmark.sparkSession
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    n_words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    groups = -(-n_words // block_words)
+    if not groups:
+        return folder, []
+    dealt = rows.where("text is not null").withColumn("deal", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
+
+    def build(table: pa.Table) -> pa.Table:
+        deal = table.column("deal")[0].as_py()
+        ids, texts = table.column("item_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()
+        pieces: list[tuple[int, np.ndarray]] = []
+        for part in T.portions([len(t) for t in texts], SHARD_BYTES):
+            hashes, _, _, owner = T.words(texts[part])
+            cuts = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
+            for i, a, b in zip(ids[part], cuts[:-1], cuts[1:]):
+                step = max(1, block_words - window + 1)
+                pieces += [(i, hashes[c : min(b, c + step + window - 1)]) for c in range(a, max(a + 1, b - window + 1), step) if b > a]
+        names = []
+        pieces.sort(key=lambda x: (x[0], x[1].tobytes()))
+        for k, part in enumerate(T.portions([len(h) for _, h in pieces], block_words)):
+            names.append(f"{deal}-{k}")
+            write_array(folder, names[-1], Windows.of(pieces[part], window).packed())
+        release()
+        return pa.table({"name": pa.array(names, pa.string())})
 
+    return folder, sorted(r["name"] for r in dealt.groupBy("deal").applyInArrow(build, "name string").collect())
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs' columns, then n_words, n_hit, spans array<struct<start,stop>> (in words) and items array<long> for every row of docs.
 
-    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no
-    words. Items with the same text are all reported; repeated items once. Items without words or item_id are skipped. A column
-    of docs with one of the new names is replaced.
-    """
-    out = None
-    columns = [c for c in docs.columns if c not in ("n_words", "n_hit", "spans", "items")]
-    for windows in item_blocks(benchmark, window, block_words):
-        found = _search(docs.select(*(F.col(f"`{c}`") for c in columns)), windows)
-        out = found if out is None else _both(out, found)
-    return out
+_mapped: dict[tuple[str, str], Windows] = {}
+
+
+def mapped_windows(folder: str, name: str) -> Windows:
+    """A block, mapped into this process; those of another benchmark are given up."""
+    if (folder, name) not in _mapped:
+        for key in [k for k in _mapped if k[0] != folder]:
+            del _mapped[key]
+        _mapped[folder, name] = Windows.unpacked(map_array(folder, name, np.uint8))
+    return _mapped[folder, name]
 
 
 def _fields(docs: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
 
-def _hits_by_text(texts: list[bytes], windows: Windows):
+def hits_by_text(texts: list[bytes], folder: str, names: list[str]):
     """For each text: its words, the merged spans of its hits, and the items that hit it; texts go into FM-indexes of about SHARD_BYTES."""
     for part in T.portions([len(t) for t in texts], SHARD_BYTES):
-        counts, text, first, size, window = shard_hits(texts[part], windows)
-        order = np.argsort(text, kind="stable")
-        cuts = np.searchsorted(text[order], np.arange(part.stop - part.start + 1))
-        for n, a, b in zip(counts.tolist(), cuts[:-1], cuts[1:]):
-            own = order[a:b]
-            spans = _merge(first[own], first[own] + size[own]) if b > a else []
-            yield n, spans, sorted({i for w in window[own] for i in windows.items[w]})
+        hashes, _, _, owner = T.words(texts[part])
+        n = part.stop - part.start
+        counts = np.bincount(owner, minlength=n)
+        starts, stops, items = ([[] for _ in range(n)] for _ in range(3))
+        for name in names:
+            windows = mapped_windows(folder, name)
+            text, first, size, window = shard_hits(hashes, owner, windows)
+            order = np.argsort(text, kind="stable")
+            hit, begin = np.unique(text[order], return_index=True)
+            for i, a, b in zip(hit.tolist(), begin, np.append(begin[1:], len(order))):
+                own = order[a:b]
+                starts[i].append(first[own])
+                stops[i].append(first[own] + size[own])
+                items[i].append(windows.items_of(window[own]))
+        for i, words in enumerate(counts.tolist()):
+            spans = _merge(np.concatenate(starts[i]), np.concatenate(stops[i])) if starts[i] else []
+            yield words, spans, sorted(set().union(*items[i]))
+
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs' columns, then n_words, n_hit, spans array<struct<start,stop>> (in words) and items array<long> for every row of docs.
 
-def _search(docs: DataFrame, windows: Windows) -> DataFrame:
+    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no
+    words. Items with the same text are all reported; repeated items once. Items without words or item_id are skipped. Rows are searched
+    one by one, so repeated rows, ties and null ids change nothing. A column of docs with one of the new names is replaced.
+    """
+    new = ["n_words", "n_hit", "spans", "items"]
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(windows)
+    folder, names = window_blocks(benchmark, window, block_words)
     at = docs.columns.index("text")
-    schema = _fields(docs) + ", n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<long>"
 
     def search(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            rows = list(_hits_by_text(texts, held.value))
-            new = [
+            rows = list(hits_by_text([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()], folder, names))
+            columns = [
                 pa.array([n for n, _, _ in rows], pa.int64()),
                 pa.array([sum(y - x for x, y in spans) for _, spans, _ in rows], pa.int64()),
                 pa.array([[{"start": x, "stop": y} for x, y in spans] for _, spans, _ in rows], pa.list_(_SPAN)),
                 pa.array([items for _, _, items in rows], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new])
         release()
 
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(search, _fields(docs) + ", n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<long>")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -194,31 +249,6 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
 
 
-def _both(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Results of two blocks over the same documents, row by row: spans and items are united with array functions."""
-    known = [c for c in left.columns if c not in ("n_words", "n_hit", "spans", "items")]
-    every = left.withColumn("_at", F.lit(0)).union(right.withColumn("_at", F.lit(1)))
-    key = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in known))))
-    merged = every.withColumn("_key", key).groupBy("_key").agg(
-        F.collect_list(F.when(F.col("_at") == 0, F.struct(*(F.col(f"`{c}`") for c in known)))).alias("_rows"),
-        F.first("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    empty = F.expr("cast(array() as array<struct<start:long,stop:long>>)")
-    united = F.aggregate(
-        F.array_sort("_spans"),
-        empty,
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["stop"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["stop"], s["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    merged = merged.withColumn("spans", united)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    return merged.withColumn("n_hit", hit).select(F.explode("_rows").alias("_row"), "n_words", "n_hit", "spans", "items").select("_row.*", "n_words", "n_hit", "spans", "items")
-
-
 def items_digest(items: list[int]) -> str:
     """SHA-256 of the item ids, sorted as strings and joined by commas."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
@@ -239,34 +269,27 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the words of benchmark passages: hit spans are cut from the text, other text stays as it is, all columns kept.
+    """docs without the words of benchmark passages: hit spans are cut from the text, other text stays as it is, all rows and columns kept.
 
-    A cut takes the words of the span and what stands between them. Documents without a hit are returned unchanged. With one block of
-    benchmark windows, search and cut are one pass; spans of several blocks are united first.
+    A cut takes the words of the span and what stands between them. Documents without a hit, and null and empty texts, are returned unchanged.
+    Search and cut are one pass. Rows are cleaned one by one, whatever their ids; no name of a column is special but text.
     """
     names = docs.columns
     renamed = docs.select(*(F.col(f"`{c}`").alias(c if c == "text" else f"_c{i}") for i, c in enumerate(names)))
-    blocks = item_blocks(benchmark, window, block_words)
-    windows = next(blocks)
-    single = next(blocks, None) is None
-    found = renamed if single else find_leaks(renamed, benchmark, window, block_words)
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(windows if single else None)
+    folder, blocks = window_blocks(benchmark, window, block_words)
     at = names.index("text")
 
     def cut(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            if single:
-                spans = [s for _, s, _ in _hits_by_text([(t or "").encode() for t in texts], held.value)]
-            else:
-                spans = [[(s["start"], s["stop"]) for s in own] for own in batch.column(batch.schema.names.index("spans")).to_pylist()]
-            texts = [without_spans(t, own) if own else t for t, own in zip(texts, spans)]
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(names)])
+            hits = hits_by_text([(t or "").encode() for t in texts], folder, blocks)
+            texts = [without_spans(t, spans) if spans else t for t, (_, spans, _) in zip(texts, hits)]
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
         release()
 
-    return found.mapInArrow(cut, _fields(renamed)).toDF(*names)
+    return renamed.mapInArrow(cut, _fields(renamed)).toDF(*names)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -6,20 +6,19 @@ start mark. With c the counts, N_k(u.) the continuations of u seen k times, a(w)
     P(w | u) = (c(u w) - D(c(u w))) / c(u.) + (D1 N1(u.) + D2 N2(u.) + D3 N3+(u.)) / c(u.) * P(w)
     P(w)     = (a(w) - E(a(w))) / a(.)      + (E1 n1 + E2 n2 + E3 n3+) / a(.) / (V + 1)
 
-A pair is hashed to (32 bits of u, 32 bits of w), mixed one-to-one to 64 bits; the slice of a pair is a range of these, so the
-pairs of a frequent word are spread evenly. Each task sends one packed, counted array per slice. A slice's task adds
-them up, writes its sorted keys and counts to the shared folder, and passes on, per word, what it knows of
-contexts and continuations; a second round adds these. To score, a worker maps all arrays of the model (they are files of
-the shared folder; from a store that is not mounted they are fetched, mapped and unlinked) and looks up
+Words are known by 40 bits of their hash where contexts and continuations are added up, by 64 bits where tokens are counted. A pair of words,
+80 bits, is mixed one-to-one to 64 + 16 bits; the 64 are its key, the 16 go along while its words are needed. The slice of a pair is a range
+of keys, so the pairs of a frequent word are spread evenly. Each task sends one packed, counted array per slice. A slice's task adds
+them up, writes its sorted keys and counts to one file of the shared folder, and passes on, per word, what it knows of
+contexts and continuations; a second round adds these. To score, a worker maps the model's files, at most MAPS at a time (from a store
+that is not mounted they are fetched, mapped and unlinked), and looks up
 each portion's sorted hashes. The driver sees a few sums per slice. The model grows with the corpus.
 """
 
 from __future__ import annotations
 
-import mmap
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +26,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from . import _exchange as X, _text as T
-from ._store import release, shared_folder, small_batches
+from ._store import map_array, release, shared_folder, small_batches, write_array
 from .language_id import held_out
 
-U32 = np.uint64(32)
-LOW = np.uint64(0xFFFFFFFF)
+#: Bits of a word's hash in a pair, in contexts and in continuations, and how a pair of them is cut.
+WORD_BITS = 40
+_DROP, _SPLIT, _KEEP = np.uint64(64 - WORD_BITS), np.uint64(16), np.uint64(24)
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 START, FINISH = np.uint64(0x51F0A3C1D2B49687), np.uint64(0xE7D1B0A98C3F4265)
 #: Bytes of text counted or scored at a time.
 PORTION = 6 << 20
+#: Files of the model that a process maps at a time.
+MAPS = 16_000
 
 
 def unmix(h: np.ndarray) -> np.ndarray:
@@ -61,43 +64,53 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, before, np.repeat(np.arange(len(texts)), counts + 1)
 
 
+def short(word: np.ndarray) -> np.ndarray:
+    """The WORD_BITS by which contexts and continuations are known."""
+    return word >> _DROP
+
+
+def pair_low(word: np.ndarray) -> np.ndarray:
+    """The 16 bits that it takes to get a pair back from its key."""
+    return (short(word) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def pair_keys(word: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return T.mix((before >> U32 << U32) | (word >> U32))
+    return T.mix(((short(before) << _KEEP) | (short(word) >> _SPLIT)) + pair_low(word).astype(np.uint64) * _SPREAD)
+
+
+def pair_words(keys: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word before and word, by WORD_BITS, of each pair."""
+    low = low.astype(np.uint64)
+    high = unmix(keys) - low * _SPREAD
+    return high >> _KEEP, ((high & np.uint64(0xFFFFFF)) << _SPLIT) | low
+
 
+def counted_pairs(keys: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their counts, and their 16 bits."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[first], np.diff(np.append(first, len(keys))), low[order[first]]
 
-def _sliced(keys: np.ndarray, counts: np.ndarray, slices: int, kind: int):
+
+def _sliced(keys: np.ndarray, slices: int, kind: int, *columns: np.ndarray):
     cuts = np.append(np.searchsorted(keys, X.slice_bounds(slices)), len(keys))
     for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if b > a:
-            yield q, kind, X.frame([X.pack_sorted(keys[a:b]), X.pack_array(counts[a:b].astype(np.uint32))])
-
-
-def write_array(folder: str, name: str, a: np.ndarray) -> None:
-    """One file of the shared folder; a task that runs again replaces it by the same bytes."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    part = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(memoryview(np.ascontiguousarray(a)).cast("B") if len(a) else b"")
-    fs.move(part, f"{path}/{name}")
-
-
-def map_array(folder: str, name: str, dtype) -> np.ndarray:
-    """The array in the file, mapped into memory."""
-    fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
-    if not isinstance(fs, pafs.LocalFileSystem):
-        held, local = tempfile.mkstemp()
-        with fs.open_input_stream(path) as source, os.fdopen(held, "wb") as out:
-            while data := source.read(1 << 24):
-                out.write(data)
-        path = local
-    if not os.path.getsize(path):
-        return np.zeros(0, dtype)
-    with open(path, "rb") as file:
-        view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    if not isinstance(fs, pafs.LocalFileSystem):
-        os.unlink(path)
-    return np.frombuffer(view, dtype)
+            yield q, kind, X.frame([X.pack_sorted(keys[a:b]), *(X.pack_array(c[a:b]) for c in columns)])
+
+
+def _joined(*columns: np.ndarray) -> np.ndarray:
+    """Columns as one file: the length and width of each, then their bytes, every column at a multiple of 8."""
+    raw = [np.ascontiguousarray(c).reshape(-1).view(np.uint8) for c in columns]
+    head = np.array([len(raw), *(len(x) for x in raw)], np.int64).view(np.uint8)
+    return np.concatenate([head, *(np.concatenate([x, np.zeros(-len(x) % 8, np.uint8)]) for x in raw)])
+
+
+def _parted(data: np.ndarray, *kinds) -> list[np.ndarray]:
+    sizes = data[8 : 8 * (1 + len(kinds))].view(np.int64)
+    ends = 8 * (1 + len(kinds)) + np.cumsum(sizes + -sizes % 8)
+    return [data[e - (n + -n % 8) : e - (n + -n % 8) + n].view(k) for e, n, k in zip(ends.tolist(), sizes.tolist(), kinds)]
 
 
 def _sum_by(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -141,8 +154,10 @@ def fit(docs: DataFrame) -> Model:
             for part in T.portions([len(t) for t in texts], PORTION):
                 word, before, _ = tokens(texts[part])
                 rows = []
-                for kind, keys in ((0, pair_keys(word, before)), (1, word)):
-                    rows += _sliced(*np.unique(keys, return_counts=True), slices, kind)
+                keys, counts, low = counted_pairs(pair_keys(word, before), pair_low(word))
+                rows += _sliced(keys, slices, 0, counts.astype(np.uint32), low)
+                keys, counts = np.unique(word, return_counts=True)
+                rows += _sliced(keys, slices, 1, counts.astype(np.uint32))
                 q, kind, data = zip(*rows)
                 yield pa.record_batch([pa.array(q, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["q", "kind", "data"])
         release()
@@ -151,27 +166,30 @@ def fit(docs: DataFrame) -> Model:
         q = table.column("q")[0].as_py()
         kinds, blobs = table.column("kind").to_pylist(), table.column("data").to_pylist()
         rows: list[tuple[int, bytes]] = []
-        sums = {}
-        for kind, name in ((0, "pair"), (1, "word")):
+        every = {}
+        for kind in (0, 1):
             own = [b for k, b in zip(kinds, blobs) if k == kind]
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            every[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             if own:
-                _, keys, (counts,) = X.totals(own, 1)
-            write_array(folder, f"{name}-keys-{q}", keys)
-            write_array(folder, f"{name}-counts-{q}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-            if kind:
-                sums |= {"tokens": int(counts.sum()), "words": len(keys)}
-                continue
-            sums |= {f"pairs_{k}": v for k, v in zip((1, 2, 3, 4), _counts_of_counts(counts))}
-            pair = unmix(keys)
-            before, after = (pair >> U32).astype(np.uint32), (pair & LOW).astype(np.uint32)
+                asked, keys, (counts,) = X.totals(own, 1)
+                every[kind] = keys, counts
+                if not kind:
+                    low = np.zeros(len(keys), np.uint16)
+                    for h, data in zip(asked, own):
+                        low[np.searchsorted(keys, h)] = X.unpack_array(X.unframe(data)[2], np.uint16)
+        (keys, counts), (words, word_counts) = every[0], every[1]
+        clipped = [np.minimum(c, 0xFFFFFFFF).astype(np.uint32) for c in (counts, word_counts)]
+        write_array(folder, f"counts-{q}", _joined(keys, clipped[0], words, clipped[1]))
+        sums = {"tokens": int(word_counts.sum()), "words": len(words)} | {f"pairs_{k}": v for k, v in zip((1, 2, 3, 4), _counts_of_counts(counts))}
+        if len(keys):
+            before, after = pair_words(keys, low)
             context = _sum_by(before, [counts, counts == 1, counts == 2, counts > 2])
             reached = _sum_by(after, [np.ones(len(after))])
             for at, (words, columns) in enumerate((context, reached)):
-                cuts = np.append(np.searchsorted(words, [(i << 32) // slices for i in range(slices)]), len(words))
+                cuts = np.append(np.searchsorted(words, np.array([(i << WORD_BITS) // slices for i in range(slices)], np.uint64)), len(words))
                 for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if b > a:
-                        rows.append((r, X.frame([bytes([at]), X.pack_sorted(words[a:b].astype(np.uint64)), *(X.pack_array(c[a:b]) for c in columns)])))
+                        rows.append((r, X.frame([bytes([at]), X.pack_sorted(words[a:b]), *(X.pack_array(c[a:b]) for c in columns)])))
         r, data = [x[0] for x in rows] + [-1], [x[1] for x in rows] + [str(sums).encode()]
         release()
         return pa.table({"r": pa.array(r, pa.int32()), "data": pa.array(data, pa.binary())})
@@ -190,8 +208,7 @@ def fit(docs: DataFrame) -> Model:
             keys.append(words)
             parts.append(wide)
         words, columns = _sum_by(np.concatenate(keys), list(np.concatenate(parts, axis=1)))
-        write_array(folder, f"stat-keys-{r}", words.astype(np.uint32))
-        write_array(folder, f"stat-values-{r}", np.stack(columns, axis=1).astype(np.float64).reshape(-1))
+        write_array(folder, f"words-{r}", _joined(words, np.stack(columns, axis=1).astype(np.float64)))
         reached = columns[4][columns[4] > 0]
         sums = {f"conts_{k}": v for k, v in zip((1, 2, 3, 4), _counts_of_counts(reached))} | {"conts": int(reached.sum()), "reached": len(reached)}
         return pa.table({"sums": pa.array([str(sums)], pa.string())})
@@ -209,30 +226,55 @@ def fit(docs: DataFrame) -> Model:
 
 
 class Tables:
-    """The mapped arrays of one model. Slices are ranges, so a sorted query meets them one after another."""
+    """The mapped arrays of one model, in files by slice. Slices are ranges, so a sorted query meets them one after another."""
 
     def __init__(self, model: Model):
         self.model = model
         fs, path = pafs.FileSystem.from_uri(model.folder)
-        found = {f.base_name for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))}
-        get = lambda name, kind: map_array(model.folder, name, kind) if name in found else np.zeros(0, kind)
-        every = range(model.slices)
-        self.pairs = [(get(f"pair-keys-{i}", np.uint64), get(f"pair-counts-{i}", np.uint32)) for i in every]
-        self.words = [(get(f"word-keys-{i}", np.uint64), get(f"word-counts-{i}", np.uint32)) for i in every]
-        self.stats = [(get(f"stat-keys-{i}", np.uint32), get(f"stat-values-{i}", np.float64).reshape(-1, 5)) for i in every]
+        self.names = {f.base_name for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))}
+        self.held: OrderedDict[str, np.ndarray] = OrderedDict()
         self.wide = X.slice_bounds(model.slices)
-        self.narrow = np.array([(i << 32) // model.slices for i in every], np.uint64)
-
-    def look_up(self, tables, bounds, keys: np.ndarray, width: int = 0) -> np.ndarray:
+        self.narrow = np.array([(i << WORD_BITS) // model.slices for i in range(model.slices)], np.uint64)
+
+    def file(self, name: str) -> np.ndarray | None:
+        """A file of the model, mapped; the one not used for longest is given up beyond MAPS."""
+        if name not in self.names:
+            return None
+        if name in self.held:
+            self.held.move_to_end(name)
+        else:
+            self.held[name] = map_array(self.model.folder, name, np.uint8)
+            if len(self.held) > MAPS:
+                self.held.popitem(last=False)
+        return self.held[name]
+
+    def pairs(self, q: int):
+        data = self.file(f"counts-{q}")
+        return None if data is None else _parted(data, np.uint64, np.uint32, np.uint64, np.uint32)[:2]
+
+    def words(self, q: int):
+        data = self.file(f"counts-{q}")
+        return None if data is None else _parted(data, np.uint64, np.uint32, np.uint64, np.uint32)[2:]
+
+    def stats(self, q: int):
+        data = self.file(f"words-{q}")
+        if data is None:
+            return None
+        keys, values = _parted(data, np.uint64, np.float64)
+        return keys, values.reshape(-1, 5)
+
+    def look_up(self, table, bounds, keys: np.ndarray, width: int = 0) -> np.ndarray:
         """The values of the keys, 0 where a key is absent."""
         distinct, back = np.unique(keys, return_inverse=True)
         out = np.zeros((len(distinct), width) if width else len(distinct))
         cuts = np.append(np.searchsorted(distinct, bounds), len(distinct))
-        for (own, values), a, b in zip(tables, cuts[:-1], cuts[1:]):
-            if b > a and len(own):
-                query = distinct[a:b].astype(own.dtype)
-                at = np.minimum(np.searchsorted(own, query), len(own) - 1)
-                hit = own[at] == query
+        for q in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[q], cuts[q + 1]
+            found = table(q)
+            if found is not None and len(found[0]):
+                own, values = found
+                at = np.minimum(np.searchsorted(own, distinct[a:b]), len(own) - 1)
+                hit = own[at] == distinct[a:b]
                 out[a:b][hit] = values[at[hit]]
         return out[back]
 
@@ -243,8 +285,8 @@ class Tables:
         n = len(texts)
         count = self.look_up(self.words, self.wide, word)
         pair = self.look_up(self.pairs, self.wide, pair_keys(word, before))
-        reached = self.look_up(self.stats, self.narrow, word >> U32, 5)[:, 4]
-        context = self.look_up(self.stats, self.narrow, before >> U32, 5)
+        reached = self.look_up(self.stats, self.narrow, short(word), 5)[:, 4]
+        context = self.look_up(self.stats, self.narrow, short(before), 5)
         d, e = m.pair_discount, m.word_discount
         conts = max(t["conts"], 1)
         back = (e[1] * t["conts_1"] + e[2] * t["conts_2"] + e[3] * (t["reached"] - t["conts_1"] - t["conts_2"])) / conts if t["conts"] else 1.0
@@ -272,7 +314,8 @@ def tables(model: Model) -> Tables:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns, then n_tokens, n_known, base_score, score and perplexity for every row of docs.
 
-    A null text is empty; an empty text has its end token only. Rows are scored one by one. Columns of docs with the new names are replaced.
+    A null text is empty; an empty text has its end token only. Rows are scored one by one, whatever their ids, so repeated rows have one score.
+    Columns of docs with the new names are replaced.
     """
     new = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))

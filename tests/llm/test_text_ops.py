@@ -271,8 +271,8 @@ def _first(own, word):
     word_hash, before, owner = kneser_ney.tokens([word])
     m, t = own.model, own.model.totals
     pair = own.look_up(own.pairs, own.wide, kneser_ney.pair_keys(word_hash, before))
-    reached = own.look_up(own.stats, own.narrow, word_hash >> kneser_ney.U32, 5)[:, 4]
-    context = own.look_up(own.stats, own.narrow, before >> kneser_ney.U32, 5)
+    reached = own.look_up(own.stats, own.narrow, kneser_ney.short(word_hash), 5)[:, 4]
+    context = own.look_up(own.stats, own.narrow, kneser_ney.short(before), 5)
     d, e = m.pair_discount, m.word_discount
     back = (e[1] * t["conts_1"] + e[2] * t["conts_2"] + e[3] * (t["reached"] - t["conts_1"] - t["conts_2"])) / t["conts"]
     low = np.maximum(reached - e[np.minimum(reached, 3).astype(int)], 0) / t["conts"] + back / (t["words"] + 1)
@@ -282,6 +282,15 @@ def _first(own, word):
     return math.log10(prob[0])
 
 
+def test_pairs_can_be_had_back_from_their_keys():
+    rng = np.random.default_rng(1)
+    word, before = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    found = kneser_ney.pair_words(kneser_ney.pair_keys(word, before), kneser_ney.pair_low(word))
+    assert (found[0] == kneser_ney.short(before)).all() and (found[1] == kneser_ney.short(word)).all()
+    keys, counts, low = kneser_ney.counted_pairs(np.tile(kneser_ney.pair_keys(word, before), 3), np.tile(kneser_ney.pair_low(word), 3))
+    assert (counts == 3).all() and set(zip(keys.tolist(), low.tolist())) == set(zip(kneser_ney.pair_keys(word, before).tolist(), kneser_ney.pair_low(word).tolist()))
+
+
 # --- 5: pages
 
 PAGE = """<html><head><title>T</title><script>x("<p>no</p>")</script></head><body><nav><a href=x>menu</a></nav><div class="ad-box ad">buy</div>
