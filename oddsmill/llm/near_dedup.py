@@ -211,28 +211,34 @@ def text_classes(texts: DataFrame, threshold: float) -> DataFrame | None:
 def block_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between texts of different classes in mixed(top, key, label), where one is outside the class ``top``.
 
-    Per top, the texts outside it are a query set against all its texts: both are packed into blocks of about BLOCK vectors, each pair of
-    blocks is one row, and its task compares all their texts through shared shingles and returns the links alone.
+    Per top, the texts outside it are a query set against all its texts: both are packed into blocks of about BLOCK vectors. Each query block
+    goes to all member blocks of its top by their numbers, so a large group is spread over as many keys as it has blocks; a row's texts are
+    compared through shared shingles where the blocks meet, and the links alone leave the task.
     """
     vectors = texts.where("vector is not null").select("key", "vector", "weight")
     rows = mixed.join(vectors, "key")
 
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        count = side.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
-        dealt = side.join(count, "top").withColumn(name, F.pmod(F.xxhash64("key"), "_n"))
-        return dealt.groupBy("top", name).agg(F.collect_list(F.struct("key", "label", "weight", "vector")).alias(f"{name}s"))
+    def blocks(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        count = side.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(f"n_{name}"))
+        dealt = side.join(count, "top").withColumn(name, F.pmod(F.xxhash64("key"), f"n_{name}"))
+        return count, dealt.groupBy("top", name).agg(F.collect_list(F.struct("key", "label", "weight", "vector")).alias(f"{name}s"))
 
-    joined = blocks(rows, "member").join(blocks(rows.where("label <> top"), "query"), "top")
+    count, members = blocks(rows, "member")
+    _, queries = blocks(rows.where("label <> top"), "query")
+    asked = queries.join(count, "top").withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_member") - 1)))
+    joined = asked.select("top", "member", "querys").join(members, ["top", "member"]).select("members", "querys")
 
-    def compare(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        for members, queries in zip(table.column("members").to_pylist(), table.column("querys").to_pylist()):
-            for x, y in compared_blocks(members, queries, threshold):
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def compare(batches):
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                for x, y in compared_blocks(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), threshold):
+                    a.append(x)
+                    b.append(y)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release()
 
-    return joined.groupBy("top", "member", "query").applyInArrow(compare, "a long, b long").distinct()
+    return joined.mapInArrow(compare, "a long, b long").distinct()
 
 
 def compared_blocks(members: list[dict], queries: list[dict], threshold: float):
