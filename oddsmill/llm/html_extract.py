@@ -22,10 +22,13 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import release, small_batches
+from ._exchange import estimated_bytes
+from ._store import release, small_batches, written
 
 #: Votes of a path beside the winning one, as a part of the winner's, from which it belongs to the article too.
 COMPANION = 0.25
+#: Size of the table of shapes, as it's stored, up to which it is broadcast; parts into which a shape's pages are split beyond that.
+BROADCAST_BYTES, SALTS = 4 << 20, 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
@@ -277,7 +280,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     Character references are decoded; white space in a block becomes one space; blocks are joined in page order by line feeds. Nothing else of the
     article is dropped or cut. A column of pages named text is replaced.
     """
-    winners = shape_paths(pages)
+    winners = written(shape_paths(pages), "page-shapes")
     keep = [c for c in pages.columns if c not in ("html", "text")]
     plain = pages.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)), F.col("url").alias("_url"), F.col("html").alias("_html"))
 
@@ -290,7 +293,13 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.binary())], [*batch.schema.names, "shape"])
 
     shaped = plain.mapInArrow(with_shape, schema + ", shape binary")
-    joined = shaped.join(winners, "shape", "left")
+    # shapes are few where hosts have templates: then no html is shuffled. Else a shape's pages, of which one may have a third, part by a salt
+    size = estimated_bytes(winners)
+    if size is not None and size <= BROADCAST_BYTES:
+        joined = shaped.join(F.broadcast(winners), "shape", "left")
+    else:
+        salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = shaped.withColumn("_salt", F.pmod(F.xxhash64("_url", F.length("_html"), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(salted, ["shape", "_salt"], "left")
     names = [f"_c{i}" for i in range(len(keep))]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in names) + ", text string"
 
