@@ -5,7 +5,8 @@ vectors, rotated by their places; a text is the sum of its trigrams' vectors; a
 A text gets the language whose prototype has the largest cosine with it.
 
 A language's sum needs only its trigram counts, which are counted in Spark over all learning rows (at most
-languages x 64**3 rows after partial aggregation, independent of the corpus) and bundled on the driver.
+languages x 64**3 rows after partial aggregation, independent of the corpus). One task bundles a language's at most 64**3 trigrams; the driver
+gets one vector a language.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from . import _text as T
 from ._store import release, small_batches
 
 DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20
-#: Languages a model may hold; more are an error, as the profiles are broadcast.
-MAX_LANGUAGES = 2_000
+#: Languages a model may hold; more are an error, as the profiles are broadcast (4 KB a language).
+MAX_LANGUAGES = 20_000
 PORTION, TEXTS = 1 << 20, 256
 
 
@@ -124,18 +125,22 @@ def language_counts(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes, of length one, from rows(text, lang); rows without lang don't count."""
-    counts = language_counts(rows.where("lang is not null").select("text", "lang")).groupBy("lang").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))
-    space, names, out = Space(dimensions, seed), [], []
-    for row in sorted(counts.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"]):
-        codes, ns = np.array(row["codes"], np.int64), np.array(row["ns"], np.float64)
-        total = np.zeros(dimensions)
+    counts = language_counts(rows.where("lang is not null").select("text", "lang"))
+
+    def bundle(table: pa.Table) -> pa.Table:
+        space, total = Space(dimensions, seed), np.zeros(dimensions)
+        order = np.argsort(table.column("code").to_numpy())
+        codes, ns = table.column("code").to_numpy()[order], table.column("n").to_numpy()[order].astype(np.float64)
         for k in range(0, len(codes), 4096):
             total += ns[k : k + 4096] @ space.vectors(codes[k : k + 4096])
-        names.append(row["lang"])
-        out.append(total / max(np.linalg.norm(total), 1e-12))
-    if len(names) > MAX_LANGUAGES:
+        release()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "vector": pa.array([(total / max(np.linalg.norm(total), 1e-12)).tolist()])})
+
+    found = counts.groupBy("lang").applyInArrow(bundle, "lang string, vector array<double>").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    return names, np.array(out).reshape(len(names), dimensions)
+    found = sorted(found, key=lambda r: r["lang"])
+    return [r["lang"] for r in found], np.array([r["vector"] for r in found]).reshape(len(found), dimensions)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = SEED) -> DataFrame:
@@ -181,7 +186,11 @@ def held_out(column: str, parts: int, left_out: int):
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learnt from the documents that are not held out."""
+    """doc_id, held_out, lang_pred, score for every row of docs; learnt from the documents that are not held out.
+
+    Rows are predicted one by one, so repeated rows get one answer each; each counts in learning. Rows without doc_id are predicted and not learnt
+    from. Columns other than doc_id, text and lang are ignored.
+    """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
     model = fit(rows.where("not held_out and doc_id is not null"))
     return predict(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
