@@ -6,6 +6,11 @@ third of all rows hold costs one entry per task). Each bucket then asks about it
 slice ``q`` of the hash space by slice, as one sorted and packed array; the task of slice ``q`` adds up
 what all buckets said and answers each array by position. A hash that every document holds is asked
 about once per bucket, so no key is hot, and nothing is collected or broadcast.
+
+Buckets and slices both grow with the input, so the arrays between them would grow with its square. Beyond ARRAYS of them an array covers
+a range of about the square root of the slices, about the square root of the buckets are added up first for each range, and only these
+sums are cut to slices; the answers come back the same way. Arrays then grow as the input to the power 1.5, and each holds so many
+hashes more.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ PART_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
 #: Buckets dealt to one shuffle partition; several small ones even out the load and bound a group's memory.
 SPREAD = 4
+#: Arrays between buckets and slices up to which they are sent straight.
+ARRAYS = 2_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -43,6 +50,15 @@ def partitions_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     return max(least, math.ceil(size / part_bytes)) if size is not None else 4 * least
 
 
+def by_number(df: DataFrame, n: int, number) -> DataFrame:
+    """df in n partitions by a number, with its remainder by n as ``part``: consecutive numbers are spread evenly, as they would not be by a hash.
+
+    Grouping by ``part`` and the number then needs no further exchange.
+    """
+    column = F.col(number) if isinstance(number, str) else number
+    return df.withColumn("part", F.pmod(column, F.lit(n)).cast("int")).repartitionById(n, F.col("part"))
+
+
 def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -123,7 +139,7 @@ def deal_texts(docs: DataFrame, n: int, spread: int = SPREAD) -> DataFrame:
         release()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return slim.mapInArrow(deal, "p int, payload binary").repartition(n, "p")
+    return by_number(slim.mapInArrow(deal, "p int, payload binary"), n, "p")
 
 
 def bucket_texts(payloads) -> tuple[list[list], list[bytes]]:
@@ -160,7 +176,7 @@ def ask(dealt: DataFrame, slices: int, hashes: Callable) -> DataFrame:
         release()
         return pa.table({"p": pa.array([p] * len(qs), pa.int32()), "q": pa.array(qs, pa.int32()), "asked": pa.array(data, pa.binary())})
 
-    return dealt.groupBy("p").applyInArrow(group, "p int, q int, asked binary")
+    return dealt.groupBy("part", "p").applyInArrow(group, "p int, q int, asked binary")
 
 
 def slice_bounds(slices: int) -> np.ndarray:
@@ -201,19 +217,68 @@ def totals(asked: list[bytes], sides: int) -> tuple[list[np.ndarray], np.ndarray
 
 def answer(asked: DataFrame, sides: int, n: int, wrapped: tuple[int, ...] = ()) -> DataFrame:
     """Rows (p, q, answer): for every array asked about, the sums over all buckets, in its order; sides named in wrapped are modulo 2**32, others at most 2**32 - 1."""
-    fit = [(lambda s: s & 0xFFFFFFFF) if k in wrapped else (lambda s: np.minimum(s, 0xFFFFFFFF)) for k in range(sides)]
+    fit = _fit(sides, wrapped)
 
     def group(table: pa.Table) -> pa.Table:
         arrays, every, sums = totals(table.column("asked").to_pylist(), sides)
         out = []
         for h in arrays:
             at = np.searchsorted(every, h)
-            out.append(frame([pack_array(f(s[at]).astype(np.uint32)) for f, s in zip(fit, sums)]))
+            out.append(frame([pack_array(f(s[at])) for f, s in zip(fit, sums)]))
         release()
         return pa.table({"p": table.column("p"), "q": table.column("q"), "answer": pa.array(out, pa.binary())})
 
-    counted = asked.repartition(n, "q").groupBy("q").applyInArrow(group, "p int, q int, answer binary")
-    return counted.repartition(n, "p")
+    return by_number(asked, n, "q").groupBy("part", "q").applyInArrow(group, "p int, q int, answer binary")
+
+
+def _fit(sides: int, wrapped: tuple[int, ...]) -> list[Callable]:
+    wrap = lambda s: (s & 0xFFFFFFFF).astype(np.uint32)
+    clip = lambda s: np.minimum(s, 0xFFFFFFFF).astype(np.uint32)
+    return [wrap if k in wrapped else clip for k in range(sides)]
+
+
+def range_bounds(slices: int, c: int, parts: int) -> np.ndarray:
+    """The least hash of each of so many parts of slice c."""
+    low, high = (c << 64) // slices, ((c + 1) << 64) // slices
+    return np.array([low + k * (high - low) // parts for k in range(parts)], np.uint64)
+
+
+def sums(dealt: DataFrame, buckets: int, slices: int, sides: int, n: int, hashes: Callable, wrapped: tuple[int, ...] = ()) -> DataFrame:
+    """Rows (p, q, answer), in n partitions by p: the answers to what each bucket asks, straight or by way of groups of buckets and ranges of slices."""
+    if buckets * slices <= ARRAYS:
+        return by_number(answer(ask(dealt, slices, hashes), sides, n, wrapped), n, "p")
+    width, coarse = math.isqrt(buckets - 1) + 1, math.isqrt(slices - 1) + 1
+    fine = -(-slices // coarse)
+    fit = _fit(sides, wrapped)
+
+    def merge(table: pa.Table) -> pa.Table:
+        g, c = table.column("g")[0].as_py(), table.column("q")[0].as_py()
+        _, every, added = totals(table.column("asked").to_pylist(), sides)
+        cuts = np.append(np.searchsorted(every, range_bounds(coarse, c, fine)), len(every))
+        rows = [(c * fine + k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        data = [frame([pack_sorted(every[a:b]), *(pack_array(f(s[a:b])) for f, s in zip(fit, added))]) for _, a, b in rows]
+        release()
+        return pa.table({"p": pa.array([g] * len(rows), pa.int32()), "q": pa.array([r[0] for r in rows], pa.int32()), "asked": pa.array(data, pa.binary())})
+
+    def split(left: pa.Table, right: pa.Table) -> pa.Table:
+        arrays = [unpack_sorted(unframe(x)[0]) for x in left.column("asked").to_pylist()]
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *arrays]))
+        data = right.column("answer").to_pylist()
+        parts = [[unpack_array(x, np.uint32) for x in unframe(data[i])] for i in np.argsort(right.column("q").to_numpy())]
+        added = [np.concatenate([np.zeros(0, np.uint32), *(x[k] for x in parts)]) for k in range(sides)]
+        out = []
+        for h in arrays:
+            at = np.searchsorted(every, h)
+            out.append(frame([pack_array(s[at]) for s in added]))
+        release()
+        return pa.table({"p": left.column("p"), "q": left.column("q"), "answer": pa.array(out, pa.binary())})
+
+    asked = ask(dealt, coarse, hashes).withColumn("g", F.floor(F.col("p") / width).cast("int"))
+    asked = by_number(asked, n, F.col("g").cast("long") * coarse + F.col("q"))
+    answers = answer(asked.groupBy("part", "g", "q").applyInArrow(merge, "p int, q int, asked binary"), sides, n, wrapped)
+    back = answers.select(F.col("p").alias("g"), F.floor(F.col("q") / fine).cast("int").alias("c"), "q", "answer")
+    back = by_number(back, n, F.col("g").cast("long") * coarse + F.col("c"))
+    return by_number(asked.groupBy("part", "g", "q").cogroup(back.groupBy("part", "g", "c")).applyInArrow(split, "p int, q int, answer binary"), n, "p")
 
 
 def with_answers(dealt: DataFrame, answers: DataFrame, sides: int, work: Callable, schema: str) -> DataFrame:
@@ -229,4 +294,4 @@ def with_answers(dealt: DataFrame, answers: DataFrame, sides: int, work: Callabl
         release()
         return out
 
-    return dealt.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(group, schema)
+    return dealt.groupBy("part", "p").cogroup(answers.groupBy("part", "p")).applyInArrow(group, schema)

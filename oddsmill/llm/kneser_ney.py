@@ -213,9 +213,9 @@ def fit(docs: DataFrame) -> Model:
         sums = {f"conts_{k}": v for k, v in zip((1, 2, 3, 4), _counts_of_counts(reached))} | {"conts": int(reached.sum()), "reached": len(reached)}
         return pa.table({"sums": pa.array([str(sums)], pa.string())})
 
-    counted = docs.select("text").mapInArrow(count, "q int, kind int, data binary").repartition(slices, "q")
-    passed = counted.groupBy("q").applyInArrow(slice_counts, "r int, data binary").repartition(slices, "r")
-    rows = passed.groupBy("r").applyInArrow(word_stats, "sums string").collect()
+    counted = X.by_number(docs.select("text").mapInArrow(count, "q int, kind int, data binary"), slices, "q")
+    passed = X.by_number(counted.groupBy("part", "q").applyInArrow(slice_counts, "r int, data binary"), slices, "r")
+    rows = passed.groupBy("part", "r").applyInArrow(word_stats, "sums string").collect()
     names = [f"{n}_{k}" for n in ("pairs", "conts") for k in (1, 2, 3, 4)]
     totals = dict.fromkeys(["tokens", "words", "conts", "reached", *names], 0)
     for row in rows:

@@ -104,7 +104,7 @@ def text_table(docs: DataFrame, width: int, threshold: float, bands: int, rows:
         copies = np.array([len(x) for x in ids], np.float64)
         return every, [np.bincount(back, minlength=len(every)), np.bincount(back, copies[owner], minlength=len(every)).astype(np.int64)]
 
-    answers = X.answer(X.ask(dealt, X.slices_for(docs, n), hashes), 2, n)
+    answers = X.sums(dealt, n * X.SPREAD, X.slices_for(docs, n), 2, n, hashes)
     schema = "key long, ids array<long>, digest string, blank boolean, bands array<long>, vector binary, weight double"
 
     def work(p, ids, texts, sums):

@@ -80,4 +80,5 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_decontaminate"] = decontaminate.SQL
+ORACLES["op7_suffix_dedup"] = suffix_dedup.SQL
 ORACLES["op9_near_dedup"] = near_dedup.SQL

@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         every, at, count = np.unique(asked, return_inverse=True, return_counts=True)
         return every, [count, np.bincount(at, checks.astype(np.float64), minlength=len(every)).astype(np.int64) & 0xFFFFFFFF]
 
-    answers = X.answer(X.ask(dealt, n, hashes), 2, n, wrapped=(1,))
+    answers = X.sums(dealt, n * X.SPREAD, n, 2, n, hashes, wrapped=(1,))
 
     def settle(p, ids, texts, sums):
         found, asked, checks = bucket_runs(texts)
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         release()
         return pa.table({"p": pa.array(out_p, pa.int32()), "covers": pa.array(out, pa.binary())})
 
-    covers = edges.repartition(n, "q").groupBy("q").applyInArrow(sort_edges, "p int, covers binary").repartition(n, "p")
+    covers = X.by_number(X.by_number(edges, n, "q").groupBy("part", "q").applyInArrow(sort_edges, "p int, covers binary"), n, "p")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string, digest string" + ", kept binary" * with_bytes
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         release()
         return pa.table({k: pa.array(rows[k], kinds[k]) for k in rows if with_bytes or k != "kept"})
 
-    return dealt.groupBy("p").cogroup(covers.groupBy("p")).applyInArrow(cut, schema)
+    return dealt.groupBy("part", "p").cogroup(covers.groupBy("part", "p")).applyInArrow(cut, schema)
 
 
 def stripped_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -395,3 +395,19 @@ def stripped_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     same = docs["doc_id"].eqNullSafe(cut[key]) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == cut[digest])
     out = docs.join(cut, same, "left")
     return out.select(*(F.coalesce(F.col(text), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Every window counted by its MD5.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5(b[i + 1:i + 400]) AS k FROM (SELECT rid, b, unnest(range(0, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+r AS (SELECT rid, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+s AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS head FROM r),
+g AS (SELECT rid, i, sum(head) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+p AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY 1, 2),
+k AS (SELECT rid, run, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY run), 0) AS since FROM p),
+t AS (SELECT rid, string_agg(CASE WHEN a > since THEN hex(b[since + 1:a]) ELSE '' END, '' ORDER BY run) AS head, max(z) AS z, count(*) AS n_spans, sum(z - a) AS n_removed FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || CASE WHEN octet_length(b) > coalesce(z, 0) THEN hex(b[coalesce(z, 0) + 1:octet_length(b)]) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""

@@ -153,3 +153,44 @@ def test_portions_of_anchors_stay_whole():
     anchors, sizes = np.array([1, 1, 2, 3, 3, 3, 4]), np.array([5, 5, 5, 5, 5, 5, 5])
     got = [(p.start, p.stop) for p in suffix_dedup.anchored_portions(anchors, sizes, 8)]
     assert got == [(0, 2), (2, 3), (3, 6), (6, 7)]
+
+
+@pytest.fixture
+def by_groups(monkeypatch):
+    """Arrays go by way of groups of buckets and ranges of slices, as they do between many buckets."""
+    from oddsmill.llm import _exchange
+
+    monkeypatch.setattr(_exchange, "ARRAYS", 0)
+
+
+def test_repeats_by_way_of_groups(spark, rows, docs, by_groups):
+    test_repeats_as_by_counting_all_windows(spark, rows, docs, 100)
+
+
+def test_near_duplicates_by_way_of_groups(spark, rows, docs, by_groups):
+    test_near_duplicates_as_by_all_pairs(spark, rows, docs)
+
+
+def test_arrays_do_not_grow_with_the_square(spark, by_groups, monkeypatch):
+    """Four times the texts, buckets and slices: rows between them at most 4**1.5 times as many, and sums are right."""
+    from oddsmill.llm import _exchange
+
+    seen = []
+    answer = _exchange.answer
+    monkeypatch.setattr(_exchange, "answer", lambda asked, *rest: (seen.append(asked.count()), answer(asked, *rest))[1])
+    for n in (8, 32):
+        docs = spark.createDataFrame([(i, f"word{i} common word{i % 7}") for i in range(40 * n)], "doc_id long, text string")
+        dealt = _exchange.deal_texts(docs, n)
+
+        def hashes(ids, texts):
+            h, count = np.unique(T.words(texts)[0], return_counts=True)
+            return h, [count]
+
+        def work(p, ids, texts, sums):
+            import pyarrow as pa
+
+            return pa.table({"n": pa.array([int(sums[0].max())], pa.int64())})
+
+        found = _exchange.with_answers(dealt, _exchange.sums(dealt, 4 * n, 4 * n, 1, n, hashes), 1, work, "n long")
+        assert {r.n for r in found.collect()} == {40 * n}
+    assert seen[1] <= 8 * seen[0]
