@@ -63,6 +63,37 @@ def formatted(conversations: DataFrame) -> DataFrame:
     )
 
 
+def running_sums(sizes: Column, start: Column) -> Column:
+    """What stands before each size. An array grows by a copy, so this is for few sizes."""
+    state = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, state, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")))["out"]
+
+
+def under_mask(piece: Column, mask: Column) -> Column:
+    """The characters of a piece whose mask is 1; a piece under one value, as all are here, is taken or left whole."""
+    one_by_one = F.zip_with(F.regexp_extract_all(piece, F.lit("(?s)(.)"), 1), F.regexp_extract_all(mask, F.lit("(.)"), 1), lambda c, b: F.when(b == "1", c))
+    return F.when(~F.contains(mask, F.lit("1")), "").when(~F.contains(mask, F.lit("0")), piece).otherwise(F.array_join(one_by_one, ""))
+
+
+def loss_text(output: DataFrame) -> DataFrame:
+    """output with loss_text: all text under the mask, unescaped.
+
+    The output is cut at its control strings, which are pieces too. Of each piece the mask is read as bytes, at once from its place. The places are running
+    sums, in runs of about the square root of their number.
+    """
+    control = r"<\|(?:role|text|next|end)\|>"
+    out = output.withColumn("_pieces", F.split("formatted", rf"(?={control})|(?<={control})"))
+    out = out.withColumn("_sizes", F.transform("_pieces", F.length))
+    out = out.withColumn("_run", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_sizes"))).cast("int")))
+    last = F.floor((F.size("_sizes") - 1) / F.col("_run")).cast("int")
+    out = out.withColumn("_runs", F.transform(F.sequence(F.lit(0), last), lambda r: F.slice("_sizes", r * F.col("_run") + 1, F.col("_run"))))
+    out = out.withColumn("_bases", running_sums(F.transform("_runs", lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)), F.lit(0)))
+    out = out.withColumn("_places", F.flatten(F.zip_with("_runs", "_bases", running_sums)))
+    mask = lambda piece, place: F.substr(F.col("loss_mask").cast("binary"), place + 1, F.length(piece)).cast("string")
+    text = F.array_join(F.zip_with("_pieces", "_places", lambda piece, place: unescaped(under_mask(piece, mask(piece, place)))), "")
+    return out.withColumn("loss_text", text).drop("_pieces", "_sizes", "_run", "_runs", "_bases", "_places")
+
+
 def read_back(output: DataFrame) -> DataFrame:
     """conv_id, formatted, turns array<struct<role,text>> and loss_text, from the formatted strings and their masks alone."""
     blocks = F.filter(F.split("formatted", r"<\|role\|>"), lambda b: b != "")
@@ -76,10 +107,7 @@ def read_back(output: DataFrame) -> DataFrame:
             ),
         )
     )
-    letters = F.regexp_extract_all("formatted", F.lit("(?s)(.)"), 1)
-    bits = F.regexp_extract_all("loss_mask", F.lit("(.)"), 1)
-    under = F.zip_with(letters, bits, lambda c, b: F.when(b == "1", c))
-    return output.select("conv_id", "formatted", turns.alias("turns"), unescaped(F.array_join(under, "")).alias("loss_text"))
+    return loss_text(output).select("conv_id", "formatted", turns.alias("turns"), "loss_text")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
