@@ -5,7 +5,7 @@ from every byte on, over chunks that overlap by WIDTH - 1 bytes and together cov
 within a chunk, and the chunks are combined by the mean over the text and the maximum over the text, which a logistic layer turns into
 one probability. As the mean weighs every chunk, a long clean text isn't condemned for one odd place, nor does a chunk of rubbish hide in it.
 
-Fitting takes a bounded, documented sample of labelled rows (FIT_ROWS, the rows of least hash, whole texts) to the driver;
+Fitting takes a bounded, documented sample of labelled rows (FIT_ROWS, the rows of least hash, whole texts of FIT_BYTES at most) to the driver;
 scoring streams through all rows with memory bounded by a chunk group.
 """
 
@@ -19,6 +19,8 @@ from ._store import release, small_batches
 
 FILTERS, WIDTH, CHUNK, SEED = 16, 6, 512, 10
 FIT_ROWS, EPOCHS, BATCH, RATE = 1_500, 30, 50, 0.02
+#: Bytes of a text that may be learnt from, so that the sample is bounded in bytes too; all texts are scored.
+FIT_BYTES = 200_000
 #: Bytes of text convolved at a time.
 GROUP = 128 << 10
 
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, marks: DataFrame, fit_rows: int = FIT_ROWS) -> Net:
         .orderBy("draw", "doc_id", "label")
         .limit(fit_rows)
     )
-    rows = docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("draw", "doc_id", "text", "label").collect()
+    rows = docs.where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(drawn), "doc_id").select("draw", "doc_id", "text", "label").collect()
     rows = sorted(rows, key=lambda r: (r["draw"], r["doc_id"], r["text"], r["label"]))
     labels = np.array([r["label"] for r in rows], np.float64)
     net = Net()
@@ -156,7 +158,11 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; a document with several labels is learnt with each."""
+    """doc_id, held_out, score, predicted for every row of docs; a document with several labels is learnt with each.
+
+    Null and empty texts are scored like spaces. Rows are scored one by one, so repeated rows have one score each; rows of one doc_id are all learnt
+    from. A score equal to the threshold is predicted 1. Columns other than doc_id, text, quality are ignored.
+    """
     from .language_id import held_out
 
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2))

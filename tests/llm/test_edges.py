@@ -195,3 +195,60 @@ def test_stages_keep_clashing_columns_and_rows(spark, tmp_path):
         assert out.columns == names and 0 < out.count() <= docs.count()
         assert {tuple(r)[2:] for r in out.collect()} == {tuple("x" for _ in names[2:])}
         docs = out
+
+
+# --- 2: long conversations
+
+
+def test_a_long_conversation_reads_back(spark):
+    from oddsmill.llm import chat_format
+
+    turns = [(7, i, ("user", "assistant", "assistant", None)[i % 4], ("<|end|> \\ é漢😀 " + str(i)) * (400 if i == 50 else 3)) for i in range(3000)]
+    conversations = spark.createDataFrame(turns + turns[:2] + [(8, 1, "assistant", "x" * 300_000)], "conv_id long, turn long, role string, text string").repartition(4)
+    found = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted(conversations)).collect()}
+    want = sorted((t, role or "", text) for c, t, role, text in turns + turns[:2])
+    assert [(t.role, t.text) for t in found[7].turns] == [x[1:] for x in want]
+    assert found[7].loss_text == "".join(x[2] for x in want if x[1] == "assistant") and found[8].loss_text == "x" * 300_000
+
+
+# --- 5: pages made from known articles
+
+
+def made_page(rng, i):
+    """A page and the text of its article."""
+    import html
+
+    def run(n):
+        return " ".join(rng.choice(["word", "text", "a&b", "x < y", "naïve", "“quoted”", "tail"]) + str(rng.randint(0, 99)) for _ in range(n))
+
+    blocks, parts = [], []
+    for _ in range(rng.randint(3, 8)):
+        kind = rng.choice(["p", "p", "p", "h2", "li", "quote", "table"])
+        texts = [run(rng.randint(8, 25)) for _ in range(rng.randint(2, 3) if kind in ("li", "table") else 1)]
+        blocks += texts
+        inline = lambda t: rng.choice(["{}", "<b>{}</b>", "<span class=x>{}</span>", "{}<!-- no -->", "\n  {}\t"]).format(html.escape(t).replace(" ", rng.choice([" ", "  ", "\n", "&#32;"])))
+        inner = [inline(t) for t in texts]
+        if kind == "li":
+            parts.append("<ul>" + "".join(f"<li>{t}</li>" for t in inner) + "</ul>")
+        elif kind == "table":
+            parts.append("<table>" + "".join(f"<tr><th>{t}</th></tr>" for t in inner) + "</table>")
+        elif kind == "quote":
+            parts.append(f"<blockquote>{inner[0]}</blockquote>")
+        else:
+            parts.append(f"<{kind}>{inner[0]}</{kind}>")
+    box = [("article", ""), ("div", f' class="story-{i} text"'), ("section", ' class="body"')][i % 3]
+    extra = "<script>var a = '<p>no</p>';</script><style>p{}</style><form><p>your mail</p></form><div class='share'>share this</div>"
+    page = f"""<!doctype html><html><head><title>t</title></head><body><nav><ul><li><a href=/>home</a></li></ul></nav><header><h1>Site</h1></header>
+    <{box[0]}{box[1]}>{''.join(parts)}{extra}</{box[0]}><aside><p>{run(12)}</p></aside><div class="comments"><p>{run(20)}</p></div><div class="cookie-notice">ok?</div><footer>{run(9)}</footer></body></html>"""
+    return page, "\n".join(blocks)
+
+
+def test_made_pages_give_their_articles(spark):
+    import random
+
+    rng = random.Random(12)
+    made = [made_page(rng, i) for i in range(120)]
+    pages = spark.createDataFrame([(i, f"https://host{i % 3}.example/{i}", page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in html_extract.main_texts(pages).collect()}
+    assert [got[i].text for i in range(len(made))] == [t for _, t in made]
+    assert all(r.n_chars == len(r.text) for r in got.values())
