@@ -31,6 +31,8 @@ WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 BLOCK = 128
 #: Bytes of text hashed at a time.
 PORTION = 1 << 20
+#: Parts of a class's texts where they are joined to what is known of the class.
+SALTS = 16
 
 
 def text_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,23 +277,22 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float
     """
     texts = text_table(docs.select("doc_id", "text"), width, threshold, bands, rows)
     labels = text_classes(texts, threshold)
-    big = F.lit((1 << 63) - 1)
     base = texts.where("not blank").select("key", "ids", "digest")
-    if labels is None:
-        classed = base.withColumn("label", F.col("key"))
-    else:
-        classed = base.join(labels, "key", "left").select("key", "ids", "digest", F.coalesce("label", "key").alias("label"))
-    rows_of = classed.select("label", "key", "digest", F.posexplode("ids").alias("at", "doc_id"))
-    first = rows_of.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", big).alias("id"), "key", "at")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    linked = rows_of.join(first, "label").select(
-        "doc_id",
-        F.nullif(F.col("first.id"), big).alias("class_id"),
-        "class_size",
-        ((F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))).alias("kept"),
-        "digest",
-    )
+    columns = ["doc_id", "class_id", "class_size", "kept", "digest"]
+    # ids are sorted, nulls last, so the first is a text's least
+    lone = base if labels is None else base.join(labels, "key", "left_anti")
+    out = lone.select(F.posexplode("ids").alias("at", "doc_id"), F.get("ids", F.lit(0)).alias("class_id"), F.size("ids").cast("long").alias("class_size"), "digest").withColumn("kept", F.col("at") == 0).select(columns)
+    if labels is not None:
+        big = F.lit((1 << 63) - 1)
+        linked = base.join(labels, "key")
+        first = linked.groupBy("label").agg(F.min(F.struct(F.coalesce(F.get("ids", F.lit(0)), big).alias("id"), "key")).alias("first"), F.sum(F.size("ids")).alias("class_size"))
+        # a large class's texts part by a salt
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["label", "salt"])
+        rows_of = both.select(F.posexplode("ids").alias("at", "doc_id"), F.nullif(F.col("first.id"), big).alias("class_id"), "class_size", ((F.col("first.key") == F.col("key"))).alias("leads"), "digest")
+        out = out.union(rows_of.withColumn("kept", F.col("leads") & (F.col("at") == 0)).select(columns))
     blank = texts.where("blank").select(F.explode("ids").alias("doc_id"), "digest")
-    return linked.union(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "digest"))
+    return out.union(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "digest"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
