@@ -30,20 +30,21 @@ KEYS = {"markets": ["platform", "market_id"], "prices": ["platform", "market_id"
 
 
 class Store:
-    """Tables as folders of versions; a new version is written whole and then named in ``CURRENT`` of its table, so readers see old or new."""
+    """Tables as folders of versions, named by their time; the newest that was written whole (it has the writer's mark) counts, so readers see old or new."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str | None:
-        path = f"{self.root}/{name}/CURRENT"
-        rows = self.spark.read.text(path).collect() if self._exists(path) else []
-        return rows[-1][0] if rows else None
+    def _versions(self, name: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(v for v in (f.getPath().getName() for f in files.listStatus(path)) if files.exists(mark(f"{self.root}/{name}/{v}/_SUCCESS")))
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _pointer(self, name: str) -> str | None:
+        return (self._versions(name) or [None])[-1]
 
     def read(self, name: str) -> DataFrame:
         version = self._pointer(name)
@@ -52,9 +53,9 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{version}")
 
     def write(self, name: str, rows: DataFrame) -> None:
-        version = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        last = self._pointer(name)
+        version = f"{max(int(time.time() * 1000), int(last.split('-')[0]) + 1 if last else 0):015d}-{uuid.uuid4().hex[:8]}"
         rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/CURRENT")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         self.write(name, T.upsert(self.read(name), rows, KEYS[name]))

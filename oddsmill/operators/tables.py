@@ -64,6 +64,22 @@ def write_csv(rows: DataFrame, path: str, *order) -> None:
     (flat.orderBy(*order) if order else flat).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def markdown_lines(rows: DataFrame, title: str, *order) -> DataFrame:
+    """[D9] line, text: a table as Markdown under a heading, nulls as ``-``. For reports, whose size is that of a table a person reads."""
+    cells = [F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in rows.columns]
+    bar = lambda parts: F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+    at = F.row_number().over(Window.orderBy(*(order or rows.columns)))
+    body = rows.select((at + 3).alias("line"), bar(cells).alias("text"))
+    names = "| " + " | ".join(rows.columns) + " |"
+    head = rows.sparkSession.createDataFrame([(0, f"## {title}"), (1, ""), (2, names), (3, "|" + " --- |" * len(rows.columns))], "line int, text string")
+    return head.union(body)
+
+
+def write_markdown(rows: DataFrame, path: str, title: str, *order) -> None:
+    """[D9] One text file of markdown_lines."""
+    markdown_lines(rows, title, *order).coalesce(1).sortWithinPartitions("line").select("text").write.mode("overwrite").text(path)
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """[S14] Rows as JSON lines, nulls left out, in as many files as there are partitions."""
     rows.write.mode("overwrite").json(path)

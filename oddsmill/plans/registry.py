@@ -5,11 +5,14 @@ Doubles are rounded to nine places on both sides, as sums of doubles depend on t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parse, titles
 from ..functions.prices import coverage_ratio, percent, wilson_interval
 from ..operators import backtest as BT, books as B, calibration as C, divergence as D, matching as M, quality as Q, series as S, stats as X, tables as T, verify as V
+from ..session import shared_root
 from ..sources import archive as A
 from ..sources.archive import table
 from ..streaming import live
@@ -228,14 +231,14 @@ def spread_histogram(spark, d):
     return D.histogram(aligned(spark, d))
 
 
-def _case_twin(rules: tuple[tuple[str, str, str], ...]) -> str:
-    """Rule by rule: the first pair that no rule before took."""
+def _case_twin(rules: tuple[tuple[str, str, str], ...], select: str = "SELECT * FROM") -> str:
+    """Rule by rule: the first pair that no rule before took; select reads these rows."""
     out = W.with_views("al", """, pt AS (SELECT pm_id, k_id, count(*) AS n_days, avg(abs(spread)) AS mean_abs, max(abs(spread)) AS max_abs, any_value(basis_risk) AS basis_risk
     FROM sp JOIN (SELECT pm_id, k_id, basis_risk FROM pa) USING (pm_id, k_id) GROUP BY 1, 2 HAVING count(*) >= 2)""").rstrip()
     for i, (name, predicate, column) in enumerate(rules):
         before = "".join(f" AND (pm_id, k_id) NOT IN (SELECT (pm_id, k_id) FROM c{j})" for j in range(i))
         out += f",\n c{i} AS (SELECT '{name}' AS case_name, pm_id, k_id FROM pt WHERE {predicate}{before} ORDER BY {column} DESC, pm_id, k_id LIMIT 1)"
-    return out + "\n" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(rules)))
+    return out + f"\n{select} (" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(rules))) + ")"
 
 
 _CASES = D.case_rules(least_days=5, long_days=12)
@@ -248,6 +251,12 @@ def case_studies(spark, d):
     return D.case_studies(per, _CASES)
 
 
+@query(_case_twin(_CASES, f"SELECT case_name, pm_id, k_id, day, {r('pm', 'k')} FROM al JOIN") + " USING (pm_id, k_id)")
+def case_series(spark, d):
+    """The data of the case studies' figures."""
+    return aligned(spark, d).join(F.broadcast(case_studies(spark, d)), ["pm_id", "k_id"]).select("case_name", "pm_id", "k_id", "day", "pm", "k")
+
+
 # --- backtest -------------------------------------------------------------------------------------------------------
 
 FEE = "CASE lower(category) WHEN 'crypto' THEN 0.07 WHEN 'politics' THEN 0.04 ELSE 0.05 END"
@@ -561,6 +570,17 @@ def productive_series(spark, d):
     return M.productive_series(candidates(spark, d))
 
 
+@query(f"""{_CANDIDATES} SELECT pm_id, k_id, {r('score')}, 'token_set' AS method, pm_id::BIGINT % 3 = 0 AS verified, CASE WHEN pm_id::BIGINT % 3 = 0 THEN 'inverse' END AS orientation, pm_id::BIGINT % 3 = 0 AS basis_risk FROM cn
+  UNION ALL SELECT 'gone', 'verified', 50.0, 'old', true, 'inverse', true""")
+def matching_run(spark, d):
+    """Inputs, candidates, and the table of matches in which they replace what wasn't verified."""
+    found = candidates(spark, d)
+    old = found.where(F.col("pm_id").cast("long") % 3 == 0).select("pm_id", "k_id", F.lit(True).alias("verified"))
+    old = old.union(spark.createDataFrame([("gone", "verified", True), ("gone", "unverified", False)], "pm_id string, k_id string, verified boolean"))
+    old = old.select("*", F.lit("inverse").alias("orientation"), F.lit(True).alias("basis_risk"), F.lit(50.0).alias("score"), F.lit("old").alias("method"))
+    return M.replace_candidates(old, found)
+
+
 # titles that take each branch of the guards
 SAMPLES = (
     "highest temperature in new york on may 3", "lowest temperature in chicago on may 3", "max and min temp in miami", "high temp in los angeles above 70", "will it rain in denver on may 3",
@@ -752,11 +772,7 @@ def review_sheet(spark, d):
 
 def scratch(spark, name: str) -> str:
     """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH RECURSIVE {REVIEW} SELECT pm_id, k_id, series, k_sub, k_title, k_rules, pm_title, pm_desc, CASE WHEN k % 6 = 0 THEN nm[1] ELSE 'Yes' END AS leg_outcome FROM rv")
@@ -776,6 +792,18 @@ def candidates_csv(spark, d):
     return A.candidates_csv(spark, path).withColumn("line", F.monotonically_increasing_id())
 
 
+@query(W.with_views("om", """, mc AS (SELECT platform, count(*) AS total, count_if(outcome IS NULL)::BIGINT AS no_outcome, count_if(category IS NULL)::BIGINT AS no_category FROM om GROUP BY 1)
+  SELECT * FROM (VALUES (0, '## Markets'), (1, ''), (2, '| platform | total | no_outcome | no_category |'), (3, '| --- | --- | --- | --- |')) h(line, text)
+  UNION ALL SELECT (row_number() OVER (ORDER BY platform) + 3)::INT, '| ' || platform || ' | ' || total || ' | ' || no_outcome || ' | ' || no_category || ' |' FROM mc"""))
+def markdown_report(spark, d):
+    """Written as Markdown and read again."""
+    m = W.order_markets(spark, d)
+    counts = m.groupBy("platform").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome").isNull()).alias("no_outcome"), F.count_if(F.col("category").isNull()).alias("no_category"))
+    path = scratch(spark, "report")
+    T.write_markdown(counts, path, "Markets", "platform")
+    return spark.read.text(path).select(F.monotonically_increasing_id().cast("int").alias("line"), F.col("value").alias("text"))
+
+
 @query(W.with_views("em", "SELECT count(*) AS rows, count_if(outcome IS NULL)::BIGINT AS unresolved, count_if(volume IS NULL)::BIGINT AS without_volume FROM em"))
 def observed_counts(spark, d):
     """Counters of a write, taken while it runs."""

@@ -27,3 +27,14 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which all machines share. A local session without one gets a folder of its own; a cluster must name it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="oddsmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -23,8 +23,8 @@ def db():
 
 
 def text(x) -> str:
-    if x is None or x is pd.NaT or (isinstance(x, float) and pd.isna(x)):
-        return ""
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and pd.isna(x)):
+        return "<null>"
     if isinstance(x, float) and x.is_integer():
         return str(int(x))
     return str(x).removesuffix(" 00:00:00")
