@@ -13,13 +13,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_root
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application inside ``spark.checkpoint.dir``; its tables can be removed when the application has ended."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
