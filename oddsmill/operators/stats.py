@@ -125,16 +125,20 @@ def design_columns(train: DataFrame, rows: DataFrame, columns: tuple[str, ...] =
 
 
 def logistic(train: DataFrame, test: DataFrame, columns: list[str], c: float = 1.0) -> DataFrame:
-    """[X6] test with column ``prob`` of an L2 logistic regression; the penalty is averaged over rows as Spark's objective is."""
+    """[X6] test with column ``prob`` of an L2 logistic regression; the penalty is averaged over rows as Spark's objective is.
+
+    The probability is an expression of the coefficients. (The model's own transformer holds the session, which can't be sent to tasks once it has observed metrics.)
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     gather = VectorAssembler(inputCols=columns, outputCol="_x")
     n = train.count()
     model = LogisticRegression(featuresCol="_x", labelCol="y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=2000, predictionCol="_hat").fit(gather.transform(train))
-    out = model.transform(gather.transform(test))
-    return out.withColumn("prob", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "_hat")
+    z = F.lit(float(model.intercept))
+    for name, weight in zip(columns, model.coefficients.toArray().tolist()):
+        z = z + F.lit(weight) * F.col(name)
+    return test.withColumn("prob", 1 / (1 + F.exp(-z)))
 
 
 def model_comparison(features: DataFrame, test_fraction: float = 0.3, least_train: int = 500, least_test: int = 200) -> DataFrame:
