@@ -218,15 +218,17 @@ def block_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     compared through shared shingles where the blocks meet, and the links alone leave the task.
     """
     vectors = texts.where("vector is not null").select("key", "vector", "weight")
-    rows = mixed.join(vectors, "key")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")
 
     def blocks(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """How many blocks each top has, and the blocks; texts get their numbers in salted parts of a top, before their vectors are joined to them."""
         count = side.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(f"n_{name}"))
-        dealt = side.join(count, "top").withColumn(name, F.pmod(F.xxhash64("key"), f"n_{name}"))
-        return count, dealt.groupBy("top", name).agg(F.collect_list(F.struct("key", "label", "weight", "vector")).alias(f"{name}s"))
+        salted = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = side.select("*", salt).join(salted, ["top", "salt"]).select("top", "key", "label", F.pmod(F.xxhash64("key", F.lit(1)), f"n_{name}").alias(name))
+        return count, dealt.join(vectors, "key").groupBy("top", name).agg(F.collect_list(F.struct("key", "label", "weight", "vector")).alias(f"{name}s"))
 
-    count, members = blocks(rows, "member")
-    _, queries = blocks(rows.where("label <> top"), "query")
+    count, members = blocks(mixed, "member")
+    _, queries = blocks(mixed.where("label <> top"), "query")
     asked = queries.join(count, "top").withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_member") - 1)))
     joined = asked.select("top", "member", "querys").join(members, ["top", "member"]).select("members", "querys")
 
