@@ -298,7 +298,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     if size is not None and size <= BROADCAST_BYTES:
         joined = shaped.join(F.broadcast(winners), "shape", "left")
     else:
-        salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         joined = shaped.withColumn("_salt", F.pmod(F.xxhash64("_url", F.length("_html"), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(salted, ["shape", "_salt"], "left")
     names = [f"_c{i}" for i in range(len(keep))]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in names) + ", text string"

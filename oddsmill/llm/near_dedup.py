@@ -210,6 +210,11 @@ def text_classes(texts: DataFrame, threshold: float) -> DataFrame | None:
     return components(block_links(mixed, texts, threshold), labels)
 
 
+def with_salts(rows: DataFrame) -> DataFrame:
+    """rows once for each salt, for a merge join: their size is judged before they are copied, so a broadcast would be of SALTS times what Spark allows."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+
+
 def block_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between texts of different classes in mixed(top, key, label), where one is outside the class ``top``.
 
@@ -223,7 +228,7 @@ def block_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     def blocks(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """How many blocks each top has, and the blocks; texts get their numbers in salted parts of a top, before their vectors are joined to them."""
         count = side.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(f"n_{name}"))
-        salted = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = with_salts(count)
         dealt = side.select("*", salt).join(salted, ["top", "salt"]).select("top", "key", "label", F.pmod(F.xxhash64("key", F.lit(1)), f"n_{name}").alias(name))
         return count, dealt.join(vectors, "key").groupBy("top", name).agg(F.collect_list(F.struct("key", "label", "weight", "vector")).alias(f"{name}s"))
 
@@ -289,7 +294,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float
         linked = base.join(labels, "key")
         first = linked.groupBy("label").agg(F.min(F.struct(F.coalesce(F.get("ids", F.lit(0)), big).alias("id"), "key")).alias("first"), F.sum(F.size("ids")).alias("class_size"))
         # a large class's texts part by a salt
-        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = with_salts(first)
         both = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["label", "salt"])
         rows_of = both.select(F.posexplode("ids").alias("at", "doc_id"), F.nullif(F.col("first.id"), big).alias("class_id"), "class_size", ((F.col("first.key") == F.col("key"))).alias("leads"), "digest")
         out = out.union(rows_of.withColumn("kept", F.col("leads") & (F.col("at") == 0)).select(columns))
