@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,31 @@ def test_matching(spark):
     assert M.build_candidates(pm, k.where("market_id = 'k2'"), 60.0).count() == 0
 
 
+@pytest.mark.parametrize("threshold, window, parts", [(60.0, 3, (5, 3)), (85.0, 1, (16_384, 2_048))])
+def test_candidates_without_all_pairs(spark, monkeypatch, threshold, window, parts):
+    monkeypatch.setattr(M, "PM_ROWS", parts[0]), monkeypatch.setattr(M, "K_ROWS", parts[1])
+    pick = random.Random(7)
+    words = ["will", "red", "blue", "over", "1.5", "2.5", "max", "highest", "1st half", "win", "new york"]
+
+    def rows(head):
+        # ids, whole rows, texts repeat; some have no text, day or bucket
+        out = [(f"{head}{pick.randint(0, 150)}", " ".join(pick.choices(words, k=pick.randint(0, 5))), dt.date(2026, 6, pick.randint(1, 6)), pick.choice(["sports", "weather", "econ"]), pick.choice(["KXHIGHNY", "KXHIGHMIA", None])) for _ in range(150)]
+        return inputs(spark, out + out[:5] + [(f"{head}n{i}", *(None if i == j else x for j, x in enumerate(out[i][1:4])), None) for i in range(3)])
+
+    pm, k = rows(""), rows("K")
+    want = M.best_of_both(M.scored_pairs(M.blocked_pairs(pm, k, window), threshold))
+    got = M.build_candidates(pm, k, threshold, window)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_alike_markets_make_no_pairs(spark):
+    d = dt.date(2026, 6, 10)
+    pm, k = (inputs(spark, [(f"{v}{i:03}", "fed cuts rates", d, "econ", None) for i in range(300)]) for v in "pk")
+    # 90,000 pairs
+    assert [(r.pm_id, r.k_id) for r in M.top_pairs(pm, k).orderBy("pm_id").collect()] == [(f"p{i:03}", "k000") for i in range(M.TOP)]
+    assert [tuple(r) for r in M.build_candidates(pm, k).collect()] == [("p000", "k000", 100.0)]
+
+
 def test_prefilter_keeps_all_pairs_that_score(spark):
     texts = ["abcdefghij abcdefghij", "abcdefghik", "abcdefghik abcdefghik zz", "zz", "other words here", "", " abcdefghij  zz "]
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "pm_text string, k_text string")

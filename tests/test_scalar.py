@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,13 @@ def test_common_subsequences_of_a_batch_as_one_by_one():
     want = [similarity.common_subsequence(a, b) for a, b in pairs]
     assert similarity.common_subsequences([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
     assert similarity.common_subsequences([], []).tolist() == []
+
+
+def test_best_set_ratios_as_of_all_pairs():
+    pick = random.Random(11)
+    words = ["will", "be", "red", "blue", "1.5", "2.5", "xab", "bax", "abx", "é", "a" * 40, "q" * 300]
+    for size, least, top in ((8, 0.0, 3), (10, 60.0, 8), (12, 85.0, 1)):
+        texts, others = ([sorted(pick.sample(words[:size], pick.randint(0, 6))) for _ in range(80)] for _ in range(2))
+        for own, got in zip(others, similarity.best_set_ratios(texts, others, least, top), strict=True):
+            all_of = sorted((-similarity.token_set_ratio_of(" ".join(t), " ".join(own)), j) for j, t in enumerate(texts))
+            assert got == [(j, -s) for s, j in all_of if -s >= least][:top]
