@@ -65,6 +65,8 @@ def run_backtest(days: DataFrame, slippage: tuple[float, ...] = (0.0, 1.0, 2.0,
     entry = F.struct("day", direction.alias("direction"), cost.alias("cost"), (1 - cost).alias("edge"), held.alias("days_held"), "pm_outcome", "k_outcome")
     found = swept.where(1 - cost > edge_threshold).groupBy(*PAIR, "slippage").agg(F.min(entry).alias("e")).select(*PAIR, "slippage", "e.*")
     payout = realized_payout(F.col("direction"), F.col("pm_outcome"), F.col("k_outcome"))
+    # both sides may be free, with one quoted at 0 and the other at 1; then the yield has no bound
+    gain = F.when(F.col("cost") == 0, F.lit(float("inf"))).otherwise(F.try_divide("edge", "cost"))
     return found.select(
         *PAIR,
         "slippage",
@@ -73,7 +75,7 @@ def run_backtest(days: DataFrame, slippage: tuple[float, ...] = (0.0, 1.0, 2.0,
         "cost",
         "edge",
         "days_held",
-        (F.col("edge") / F.col("cost") * 365 / F.col("days_held")).alias("annualized"),
+        (gain * 365 / F.col("days_held")).alias("annualized"),
         payout.alias("payout"),
         (payout - F.col("cost")).alias("pnl"),
     )

@@ -109,6 +109,15 @@ def test_backtest(spark):
     assert flipped == {1: (0.5, "NO"), 2: (0.7, "NO")}
 
 
+def test_backtest_of_free_entries(spark):
+    days = backtest_days(spark).withColumns({"pm": F.lit(0.0), "k_bid": F.lit(1.0)})
+    t = BT.run_backtest(days, (0.0, 1.0))
+    got = {r.slippage: (r.cost, r.edge, r.annualized) for r in t.collect()}
+    assert got[0.0] == (0.0, 1.0, math.inf) and 0 < got[1.0][0] < 0.02 and got[1.0][2] < math.inf
+    summary = {r.slippage: (r.opportunities, r.mean_edge, r.median_annualized) for r in BT.backtest_summary(t, days).collect()}
+    assert summary[0.0] == (1, 1.0, math.inf)
+
+
 def inputs(spark, rows):
     return spark.createDataFrame(rows, "market_id string, text string, close_date date, bucket string, series string")
 
