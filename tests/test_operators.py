@@ -158,6 +158,23 @@ def test_alike_markets_make_no_pairs(spark):
     assert [tuple(r) for r in M.build_candidates(pm, k).collect()] == [("p000", "k000", 100.0)]
 
 
+def test_pairs_by_tiles_are_all_pairs(spark, monkeypatch):
+    pick = random.Random(3)
+    day = lambda: pick.choice([None, *(dt.date(2026, 6, n) for n in range(1, 9))])
+    pm, k = (inputs(spark, [(f"{v}{pick.randint(0, 200)}", "a", day(), pick.choice(["sports", "econ", None]), None) for _ in range(200)]) for v in "pk")
+    for tile in ((8_192, 4_096, 512), (7, 20, 8)):
+        monkeypatch.setattr(M, "PM_TILE", tile[0]), monkeypatch.setattr(M, "K_TILE", tile[1]), monkeypatch.setattr(M, "RUN", tile[2])
+        for window in (0, 3):
+            want = M.blocked_pairs(pm, k, window).select("pm_id", "k_id")
+            assert sorted(map(tuple, M.pair_ids(pm, k, window).collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.undo()
+    # in the order of writing, the second venue's ids repeat after RUN rows, not after the block's 5,001
+    pm, k = (spark.range(n).select(F.concat(F.lit(v), "id").alias("market_id"), F.lit("a").alias("text"), F.lit("2026-06-01").cast("date").alias("close_date"), F.lit("econ").alias("bucket")) for v, n in (("p", 20), ("k", 5_001)))
+    rows = M.pair_ids(pm, k).collect()
+    first = rows[: 20 * M.RUN]
+    assert len(rows) == len(set(rows)) == 20 * 5_001 and len({r.k_id for r in first}) == M.RUN and sum(a.pm_id != b.pm_id for a, b in zip(first, first[1:])) == 19
+
+
 def test_prefilter_keeps_all_pairs_that_score(spark):
     texts = ["abcdefghij abcdefghij", "abcdefghik", "abcdefghik abcdefghik zz", "zz", "other words here", "", " abcdefghij  zz "]
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "pm_text string, k_text string")
