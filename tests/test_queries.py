@@ -48,3 +48,33 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def many_alike(spark, tmp_path_factory):
+    """600 parts of one name and type: 300 a venue, all in one block, 90,000 pairs."""
+    folder = str(tmp_path_factory.mktemp("alike"))
+    spark.range(300).selectExpr("explode(array(id * 840 * 6, id * 840 * 6 + 1)) AS p_partkey").selectExpr("p_partkey", "'hot bolt' AS p_name", "'SMALL' AS p_type").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+def most_rows(df) -> int:
+    """Of all operators of the plan that ran."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if node.metrics().contains("numOutputRows"):
+            found = max(found, node.metrics().apply("numOutputRows").value())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_matching_run_makes_no_row_for_a_pair(spark, many_alike):
+    assert most_rows(registry.queries()["matching_run"](spark, many_alike)) < 10_000
