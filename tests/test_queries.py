@@ -78,3 +78,10 @@ def most_rows(df) -> int:
 
 def test_matching_run_makes_no_row_for_a_pair(spark, many_alike):
     assert most_rows(registry.queries()["matching_run"](spark, many_alike)) < 10_000
+
+
+def test_productive_series_scores_no_row_for_a_pair(spark, many_alike):
+    df = registry.queries()["productive_series"](spark, many_alike)
+    plan = df._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r) for r in df.collect()] == []
