@@ -118,6 +118,14 @@ def test_backtest_of_free_entries(spark):
     assert summary[0.0] == (1, 1.0, math.inf)
 
 
+def test_backtest_summary_of_a_free_and_a_paid_entry(spark):
+    free = backtest_days(spark).withColumns({"pm": F.lit(0.0), "k_bid": F.lit(1.0)})
+    paid = backtest_days(spark).withColumn("pm_id", F.lit("paid"))
+    days = free.unionByName(paid)
+    r = BT.backtest_summary(BT.run_backtest(days, (0.0,)), days).collect()[0]
+    assert (r.opportunities, r.tradable_pairs, r.paying_exactly_1) == (2, 2, 2) and 0.5 < r.mean_edge < 1 and r.median_annualized == math.inf
+
+
 def inputs(spark, rows):
     return spark.createDataFrame(rows, "market_id string, text string, close_date date, bucket string, series string")
 
