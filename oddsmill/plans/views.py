@@ -97,7 +97,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     one = m.where("platform = 'pm'").select("market_id", F.col("outcome").alias("pm_outcome"), "category")
     two = m.where("platform = 'k'").select("market_id", F.col("outcome").alias("k_outcome"), F.to_date(F.timestamp_seconds("anchor")).alias("resolve_day"))
     user = F.col("market_id").cast("long")
-    return one.join(two, "market_id").select(
+    return one.join(two.hint("merge"), "market_id").select(
         F.col("market_id").alias("pm_id"),
         F.col("market_id").alias("k_id"),
         F.when(user % 3 == 0, "inverse").otherwise("same").alias("orientation"),

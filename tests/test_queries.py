@@ -85,3 +85,8 @@ def test_productive_series_scores_no_row_for_a_pair(spark, many_alike):
     plan = df._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
     assert [tuple(r) for r in df.collect()] == []
+
+
+def test_backtest_summary_broadcasts_no_market(spark):
+    plan = registry.queries()["backtest_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "HashedRelationBroadcastMode" not in plan
