@@ -90,3 +90,34 @@ def test_productive_series_scores_no_row_for_a_pair(spark, many_alike):
 def test_backtest_summary_broadcasts_no_market(spark):
     plan = registry.queries()["backtest_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "HashedRelationBroadcastMode" not in plan
+
+
+@pytest.fixture(scope="module")
+def many_matching(spark, tmp_path_factory):
+    """600 parts of two names: 300 a venue, all in one block, and matches in one series."""
+    folder = str(tmp_path_factory.mktemp("matching"))
+    parts = spark.range(300).selectExpr("id", "explode(array(id * 840 * 6, id * 840 * 6 + 721)) AS p_partkey")
+    parts.selectExpr("p_partkey", "if(id % 2 = 0, 'hot bolt', 'cold bolt') AS p_name", "'SMALL' AS p_type").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name, rows", [("matching_run", 3)])
+def test_matching_sends_blocks_not_markets_by_way_of_the_driver(spark, many_matching, name, rows):
+    """What is broadcast goes through the driver's memory: one row a block, however many markets are in it."""
+    df = registry.queries()[name](spark, many_matching)
+    assert len(df.collect()) == rows
+    assert 0 < most_rows_broadcast(df) <= 7
+
+
+def most_rows_broadcast(df) -> int:
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            found = max(found, node.metrics().apply("numOutputRows").value())
+        todo += [getattr(node, into)() for end, into in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan"), ("ReusedExchangeExec", "child")) if kind.endswith(end)]
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
