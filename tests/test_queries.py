@@ -101,7 +101,7 @@ def many_matching(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name, rows", [("matching_run", 3)])
+@pytest.mark.parametrize("name, rows", [("matching_run", 3), ("productive_series", 1)])
 def test_matching_sends_blocks_not_markets_by_way_of_the_driver(spark, many_matching, name, rows):
     """What is broadcast goes through the driver's memory: one row a block, however many markets are in it."""
     df = registry.queries()[name](spark, many_matching)
